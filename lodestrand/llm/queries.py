@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.llm.common import documents
-from lodestrand.llm import near_dedup
+from lodestrand.llm import near_dedup, packing, token_counts, token_files
+from lodestrand.llm.common import documents, shared_dir
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_pattern() -> str:
+    """The pre-tokenizer's pattern of the byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), near_dedup.Params(words=2))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), byte_pattern(), limit=1024)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup}
+    own = [op1_near_dedup, op2_token_counts, op7_token_files, op8_packing]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of the registered queries so far can be told in SQL; they are tested against brute force."""
     return {}
