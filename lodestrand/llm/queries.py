@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.llm import near_dedup, packing, token_counts, token_files
+from lodestrand.llm import decontaminate, fingerprints, near_dedup, packing, token_counts, token_files
 from lodestrand.llm.common import documents, shared_dir
 
 
@@ -33,6 +33,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), byte_pattern(), limit=1024)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     token_files.write(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -44,7 +52,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_near_dedup, op2_token_counts, op7_token_files, op8_packing]
+    own = [op1_near_dedup, op2_token_counts, op5_fingerprints, op6_decontamination, op7_token_files, op8_packing]
     return {f.__name__: f for f in own}
 
 
