@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrand.llm import decontaminate, fingerprints, near_dedup, packing, token_counts, token_files
-from lodestrand.llm.common import documents, shared_dir
+from lodestrand.llm import decontaminate, fingerprints, near_dedup, packing, quality, token_counts, token_files, toxicity
+from lodestrand.llm.common import documents, labels, shared_dir
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +34,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), byte_pattern(), limit=1024)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = documents(spark, sf_dir), quality.fold(F.col("doc_id"), 5)
+    model = quality.fit(docs, labels(spark, sf_dir), part != 0)
+    scores = quality.quality_scores(docs, model, threshold=0.3)
+    return scores.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
@@ -51,8 +59,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = documents(spark, sf_dir), quality.fold(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, labels(spark, sf_dir), part != 1)
+    scores = toxicity.toxicity_scores(docs, model, threshold=0.7)
+    return scores.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", "predicted", "n_toxic_windows")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_near_dedup, op2_token_counts, op5_fingerprints, op6_decontamination, op7_token_files, op8_packing]
+    own = [op1_near_dedup, op2_token_counts, op3_quality, op5_fingerprints, op6_decontamination, op7_token_files, op8_packing, op9_toxicity]
     return {f.__name__: f for f in own}
 
 
