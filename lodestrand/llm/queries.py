@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import decontaminate, fingerprints, near_dedup, packing, quality, token_counts, token_files, toxicity
+from lodestrand.llm import decontaminate, fingerprints, near_dedup, packing, page_text, pii, quality, token_counts, token_files, toxicity
 from lodestrand.llm.common import documents, labels, shared_dir
 
 
@@ -41,6 +41,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
@@ -66,8 +71,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", "predicted", "n_toxic_windows")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_near_dedup, op2_token_counts, op3_quality, op5_fingerprints, op6_decontamination, op7_token_files, op8_packing, op9_toxicity]
+    own = [op1_near_dedup, op2_token_counts, op3_quality, op4_pii, op5_fingerprints, op6_decontamination, op7_token_files, op8_packing, op9_toxicity, op10_page_text]
     return {f.__name__: f for f in own}
 
 
