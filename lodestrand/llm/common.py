@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch. Texts can be long, so batches are small enough for a worker's memory.
 BATCH_ROWS = 512
@@ -71,7 +72,7 @@ def _release_all() -> None:
             _remove(_sessions[key], path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with the batch size of :func:`tune`."""
     tune(df.sparkSession)
     return df.mapInArrow(fn, schema)

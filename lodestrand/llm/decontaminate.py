@@ -117,6 +117,36 @@ class Finder:
         return out
 
 
+def blocks_of(items: DataFrame, block_chars: int, item_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The items, normalized, in blocks of a bounded number of characters; one empty block if there are none."""
+    block, size = [], 0
+    for name, text in items.select(F.col(item_col).cast("long"), F.col(item_text_col)).toLocalIterator():
+        text = normal(text)
+        if size and size + len(text) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((name, text))
+        size += len(text)
+    yield block
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item is; see :func:`find_items`."""
+    at = docs.columns.index(text_col)
+
+    def keep(block: list[tuple[int, str]]):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = Finder(block, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not find(normal(x.as_py())) for x in batch.column(at)], pa.bool_()))
+
+        return run
+
+    for block in blocks_of(items, block_chars, item_col, item_text_col):
+        docs = map_batches(docs, keep(block), docs.schema)
+    return docs
+
+
 def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_ids, distances, n_items, contaminated) for every row of ``docs``.
 
@@ -133,17 +163,6 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bloc
     texts = texts_of(docs, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
 
-    def blocks() -> Iterator[list[tuple[int, str]]]:
-        block, size = [], 0
-        for name, text in items.select(F.col(item_col).cast("long"), F.col(item_text_col)).toLocalIterator():
-            text = normal(text)
-            if size and size + len(text) > block_chars:
-                yield block
-                block, size = [], 0
-            block.append((name, text))
-            size += len(text)
-        yield block
-
     def search(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = Finder(block, rate)
@@ -156,7 +175,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bloc
 
         return map_batches(texts, run, f"doc_id {kind}, item_ids array<long>, distances array<int>, text_key long")
 
-    each = [search(b) for b in blocks()]
+    each = [search(b) for b in blocks_of(items, block_chars, item_col, item_text_col)]
     if len(each) == 1:
         out = each[0].select("doc_id", "item_ids", "distances")
     else:

@@ -266,3 +266,24 @@ def mask(text: str, spans: dict[str, list[Span]]) -> str:
         end = max(end, b)
     return "".join([*out, text[end:]])
 
+
+def masked_documents(docs: DataFrame, field: crf.Field | None = None, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with every span of personal data in the text replaced by its kind in angle brackets,
+    and, if there is such a column, the new number of code points. A null text and its number stay as they are."""
+    field = field or model()
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detect = Detector(field)
+        for batch in batches:
+            held = batch.column(at).to_pylist()
+            texts = [t or "" for t in held]
+            masked = [None if h is None else mask(t, {**b, **a}) for h, t, (b, a) in zip(held, texts, detect(texts))]
+            cols = list(batch.columns)
+            cols[at] = pa.array(masked, batch.schema.field(at).type)
+            if size_col in batch.schema.names:
+                k = batch.schema.names.index(size_col)
+                cols[k] = pa.array([n if m is None else len(m) for n, m in zip(batch.column(k).to_pylist(), masked)], batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return map_batches(docs, run, docs.schema)

@@ -56,15 +56,16 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, the statistics) of every row, one pass."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the statistics, the columns of ``carry``) of every row, one pass."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(1)], np.float64).reshape(batch.num_rows, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(x.shape[1])]], names=["doc_id", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(x.shape[1])], *batch.columns[2:]], names=["doc_id", *STATISTICS, *carry])
 
-    texts = texts_of(docs, id_col, text_col)
-    return map_batches(texts, run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in STATISTICS))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry])
+    kinds = [f.dataType.simpleString() for f in rows.schema]
+    return map_batches(rows, run, f"doc_id {kinds[0]}, " + ", ".join(f"{c} double" for c in STATISTICS) + "".join(f", `{c}` {k}" for c, k in zip(carry, kinds[2:])))
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -91,9 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality"
     return rules.fit(STATISTICS, marks[STATISTICS].to_numpy(), y)
 
 
-def quality_scores(docs: DataFrame, model: rules.Ensemble, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) for every row: the probability of good quality, and whether it
+def quality_scores(docs: DataFrame, model: rules.Ensemble, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, predicted) for every row, and the columns of ``carry``: the probability of good quality, and whether it
     reaches the threshold. Null and empty texts have statistics of 0 and a score like any other. Null ids
     and repeated rows stay; other columns are not read; an empty table gives an empty one."""
     score = model.column()
-    return with_statistics(docs, id_col, text_col).select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return with_statistics(docs, id_col, text_col, carry).select("doc_id", *carry, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
