@@ -5,13 +5,88 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrand.operators import documents, folds
+from lodestrand.plans.factors import sets
+from lodestrand.plans.layers import compute, to_sql
+from lodestrand.plans.sql_queries import QUERIES
+from lodestrand.sources.panel import BRAND_WEEK_SQL, brand_week, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: One formula for each panel operator.
+OPERATORS = {
+    "safe_div": "(close - open) / (volume - 100)", "signed_power": "(close - open) ^ 2", "vwap": "vwap", "adv_amount": "MEAN(amount, 20)", "log_floor": "FLOORLOG(close - open)", "if_where": "IF(close > open, 1, -1)",
+    "compare_flags": "(close > DELAY(close, 1)) + (volume <= DELAY(volume, 1))", "filter_values": "FILTER(close, close > open)", "elementwise_max": "MAX(open, close)", "elementwise_fmax": "FMAX(DELAY(close, 3), open)",
+    "cs_rank": "RANK(close)", "cs_rank_average": "RANKAVG(volume)", "cs_scale": "SCALE(close - open)", "indneutralize": "NEUT(close, industry)", "winsorize": "WINSOR(close, 0.01)", "zscore": "ZSCORE(amount)", "cs_demean": "close - XMEAN(close)",
+    "ts_delay": "DELAY(close, 3)", "ts_delta": "DELTA(close, 3)", "returns": "RET(close, 1)", "forward_return": "DELAY(close, -4) / close - 1", "ts_sum": "SUM(volume, 10)", "ts_mean": "MEAN(close, 10)", "ts_std": "STD(close, 10)", "rolling_std": "STD1(close, 10)",
+    "ts_min": "TSMIN(low, 10)", "ts_max": "TSMAX(high, 10)", "ts_rank": "TSRANK(close, 10)", "ts_argmax": "ARGMAX(high, 10)", "ts_argmin": "ARGMIN(low, 10)", "highday": "HIGHDAY(high, 10)", "lowday": "LOWDAY(low, 10)", "ts_product": "PROD(close / open, 5)",
+    "ts_corr": "CORR(close, volume, 10)", "ts_corr_partial": "CORR2(close, volume, 10)", "ts_cov": "COV(close, volume, 10)", "ts_decay_linear": "DECAY(close, 10)", "wma": "WMA(close, 10)", "sma_gtja": "SMA(close, 7, 2)", "ts_count": "COUNT(close > open, 10)",
+    "ts_sumif": "SUMIF(volume, close > open, 10)", "sumac": "SUMAC(volume)", "regbeta_seq": "SLOPE(close, 10)", "regbeta": "REGBETA(returns, XMEAN(returns), 20)", "regresi": "REGRESI(close, volume, 10)", "ts_quantile": "QUANTILE(close, 20, 0.8)", "ts_ols_r2": "RSQUARE(close, 10)", "ts_ols_residual": "RESIDUAL(close, 10)",
+    "beta": "REGBETA(returns, XMEAN(returns), 60)", "rsi": "100 - 100 / (1 + MEAN(GREATEST(DELTA(close, 1), 0), 14) / MEAN(GREATEST(-1 * DELTA(close, 1), 0), 14))", "bollinger": "(close - MEAN(close, 20)) / (2 * STD(close, 20))", "williams_r": "-100 * (TSMAX(high, 32) - close) / (TSMAX(high, 32) - TSMIN(low, 32)) + 50",
+    "rsrs": "LASTZ(OLDSLOPE(high, low, 18), 200, 25)", "drawdown": "close / CUMMAX(close) - 1", "cum_nav": "CUMPROD(1 + MAX(MIN(returns + 0 * close, 1 + 0 * close), -0.5 + 0 * close) / 100)", "qlib_expression": "(close / Ref(close, 20) - 1) * Log(volume / Ref(volume, 20))",
+}
+
+
+def _formula_query(formulas: dict[str, str]) -> Query:
+    return lambda spark, d: compute(brand_week(spark, d), formulas, 6)
+
+
+def _factor_groups() -> dict[str, dict[str, str]]:
+    """Factor sets in groups that make plans of a bounded size."""
+    def groups(name: str, formulas: dict[str, str], size: int) -> dict[str, dict[str, str]]:
+        keys = list(formulas)
+        return {f"{name}_{k // size + 1:02d}": {c: formulas[c] for c in keys[k : k + size]} for k in range(0, len(keys), size)}
+
+    wq = sets.factor_set("wq101")
+    # Its powers reach 1e291; their logarithms compare.
+    wq["alpha84"] = "SIGN(TSRANK(vwap - TSMAX(vwap, 15), 20)) * DELTA(close, 4) * LOG(ABS(TSRANK(vwap - TSMAX(vwap, 15), 20)))"
+    prices = {k: v for k, v in sets.quant33().items() if not set("roe_ttm roa_ttm net_margin debt_to_asset asset_turnover revenue_yoy profit_yoy eps_yoy".split()) & {k}}
+    return groups("alpha101", wq, 9) | groups("alpha158", sets.alpha158(), 40) | {"gtja191": sets.gtja191(), "quant33": prices}
+
+
+#: Stand-ins for fundamentals and style inputs, as functions of price, volume and amount.
+_STANDINS = {
+    "net_profit_ttm": "amount * 0.1", "equity": "amount", "assets": "amount * 2", "revenue_ttm": "amount * 0.4", "liabilities": "amount * 0.8", "revenue_yoy": "0.05 * close", "profit_yoy": "0.01 * close", "eps_yoy": "0.02 * close",
+    "total_shares": "100000 + volume", "book_value_per_share": "close * 0.5 + 1", "eps_ttm": "close * 0.05", "net_profit_yoy": "0.1 * close", "debt_to_equity": "volume / 1000",
+}
+
+
+def _stand_in(formula: str) -> str:
+    import re
+
+    return re.sub(r"[a-z_]+", lambda m: f"({_STANDINS[m[0]]})" if m[0] in _STANDINS else m[0], formula)
+
+
+def _ratio_groups() -> dict[str, dict[str, str]]:
+    quant = {k: _stand_in(v) for k, v in sets.quant33().items() if any(n in v for n in sets.FUNDAMENTALS)}
+    return {"quant33_ratios": quant, "barra": {k: _stand_in(v) for k, v in sets.barra().items()}}
+
+
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    """Several sets on one panel in one select, names with the set's prefix."""
+    return compute(brand_week(spark, d), _BATCH, 6)
+
+
+_BATCH = {**{f"gtja191_{k}": v for k, v in list(sets.gtja191().items())[:3]}, **{f"alpha158_{k}": v for k, v in list(sets.alpha158().items())[:5]}}
+
+
+def _formulas() -> dict[str, dict[str, str]]:
+    return {**{k: {"value": f} for k, f in OPERATORS.items()}, **_factor_groups(), **_ratio_groups(), "batch_factor_sets": _BATCH}
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    out: dict[str, Query] = {k: _formula_query(f) for k, f in _formulas().items()}
+    out |= {k: q.spark for k, q in QUERIES.items()}
+    out["doc_normalize"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(documents.normalized(F.col("text")).cast("binary")).alias("text_md5"))
+    out["doc_outline"] = lambda s, d: table(s, d, "documents").select("doc_id", F.size(documents.outline(F.col("text"))).alias("n_lines"))
+    out |= folds.queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {k: to_sql(BRAND_WEEK_SQL, f) for k, f in _formulas().items()}
+    out |= {k: q.sql() for k, q in QUERIES.items()}
+    out["doc_normalize"] = r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))) AS text_md5 FROM documents"
+    return out

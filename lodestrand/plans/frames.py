@@ -1,0 +1,89 @@
+"""Frames that the queries stand on, each as a DataFrame and as SQL."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestrand.plans.layers import compute, to_sql
+from lodestrand.sources.panel import BRAND_WEEK_SQL, brand_week, table
+
+#: Four factors, the next row's return and the return four rows on.
+FACTORS = {"mom": "RET(close, 4)", "rev": "-1 * RET(close, 1)", "liq": "volume / MEAN(volume, 4) - 1", "rng": "MEAN((high - low) / close, 4)", "fwd": "DELAY(close, -1) / close - 1", "fwd4": "DELAY(close, -4) / close - 1"}
+
+
+@dataclass(frozen=True)
+class Frame:
+    spark: Callable[[SparkSession, str], DataFrame]
+    sql: str
+
+
+PANEL = Frame(brand_week, BRAND_WEEK_SQL)
+FACTOR = Frame(lambda s, d: compute(brand_week(s, d), FACTORS, 6), to_sql(BRAND_WEEK_SQL, FACTORS))
+
+
+def source(name: str) -> Frame:
+    return Frame(lambda s, d: table(s, d, name), f"SELECT * FROM {name}")
+
+
+@dataclass(frozen=True)
+class SqlQuery:
+    """A query told once in SQL that both engines read; inputs go in by name."""
+
+    text: str
+    inputs: dict[str, Frame]
+
+    def __post_init__(self) -> None:
+        # ties of rounding go up in both engines, whatever the last bits are, and zero has no sign
+        object.__setattr__(self, "text", self.text.replace("round(", "round(1e-10 + "))
+
+    def spark(self, session: SparkSession, sf_dir: str) -> DataFrame:
+        return session.sql(self.text, **{k: f.spark(session, sf_dir) for k, f in self.inputs.items()})
+
+    def sql(self) -> str:
+        return self.text.format(**{k: f"({f.sql})" for k, f in self.inputs.items()})
+
+
+def frame(text: str, **inputs: Frame) -> Frame:
+    q = SqlQuery(text, inputs)
+    return Frame(q.spark, q.sql())
+
+
+#: Factors in long form: (date, code, factor, value, fwd).
+LONG = frame(" UNION ALL ".join(f"SELECT date, code, '{f}' AS factor, {f} AS value, fwd FROM {{f}}" for f in ("mom", "rev", "liq", "rng")), f=FACTOR)
+
+
+def rank_of(x: str, by: str, given: str = "1 = 1") -> str:
+    """Average ranks of x among the rows of a group with a value, as SQL of both engines."""
+    return f"CASE WHEN {x} IS NOT NULL AND {given} THEN rank() OVER (PARTITION BY {by} ORDER BY CASE WHEN {given} THEN {x} END ASC NULLS LAST) + (count(CASE WHEN {given} THEN {x} END) OVER (PARTITION BY {by}, CASE WHEN {given} THEN {x} END) - 1) / 2.0e0 END"
+
+
+def corr_of(x: str, y: str) -> str:
+    """A guarded Pearson correlation over the complete pairs of a group."""
+    a, b = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+    return f"CASE WHEN stddev_pop({a}) > 1e-12 AND stddev_pop({b}) > 1e-12 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END"
+
+
+#: Daily rank IC of each factor, (date, factor, ic, n), dates with five pairs or more.
+_RANKED = frame(
+    f"SELECT date, factor, {rank_of('value', 'date, factor', 'fwd IS NOT NULL')} AS rv, {rank_of('fwd', 'date, factor', 'value IS NOT NULL')} AS rf, value, fwd FROM {{l}}", l=LONG
+)
+IC = frame(
+    f"SELECT date, factor, round({corr_of('rv', 'rf')}, 6) AS ic, round({corr_of('value', 'fwd')}, 6) AS pearson, count(CASE WHEN value IS NOT NULL AND fwd IS NOT NULL THEN 1 END) AS n FROM {{r}} GROUP BY date, factor", r=_RANKED
+)
+IC5 = frame("SELECT date, factor, ic, pearson, n FROM {i} WHERE n >= 5 AND ic IS NOT NULL", i=IC)
+
+#: Buckets of the factor mom, five a date, from ranks that ties never share.
+BUCKET = frame(
+    "SELECT date, code, mom, fwd, CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, ceil((r - 1) * 5.0e0 / (n - 1))) END AS INT) AS bucket FROM (SELECT date, code, mom, fwd, row_number() OVER (PARTITION BY date ORDER BY mom, code) AS r, count(*) OVER (PARTITION BY date) AS n FROM {f} WHERE mom IS NOT NULL AND fwd IS NOT NULL) q",
+    f=FACTOR,
+)
+
+#: One NAV series for each brand, with the mean of all as benchmark: (strategy, date, nav, benchmark).
+NAV = frame(
+    "SELECT code AS strategy, date, round(close / first_close, 8) AS nav, round(avg(close / first_close) OVER (PARTITION BY date), 8) AS benchmark FROM (SELECT code, date, close, first_value(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_close FROM {p}) q",
+    p=PANEL,
+)
+RETURNS = frame("SELECT strategy, date, nav, benchmark, nav / nullif(lag(nav) OVER (PARTITION BY strategy ORDER BY date), 0) - 1 AS r, benchmark / nullif(lag(benchmark) OVER (PARTITION BY strategy ORDER BY date), 0) - 1 AS b FROM {n}", n=NAV)

@@ -1,0 +1,123 @@
+"""Evaluation, portfolio, warehouse and dashboard queries."""
+
+from __future__ import annotations
+
+from lodestrand.plans.frames import BUCKET, FACTOR, IC, IC5, LONG, NAV, PANEL, RETURNS, SqlQuery, corr_of, frame, rank_of, source
+
+ORDERS, LINES, CUSTOMER, PART, SUPPLIER, EVENTS, DOCS = (source(n) for n in ("orders", "lineitem", "customer", "part", "supplier", "events", "documents"))
+
+_TRUTH = frame("SELECT date, code, mom AS submitted, CASE WHEN (CAST(substr(code, 7) AS INT) + month(date) * 31 + dayofmonth(date)) % 50 = 0 THEN mom * 1.5e0 + 0.001e0 WHEN (CAST(substr(code, 7) AS INT) + dayofmonth(date)) % 41 = 0 THEN NULL ELSE mom END AS truth FROM {f}", f=FACTOR)
+_DAY = frame("SELECT date, dense_rank() OVER (ORDER BY date) AS day FROM (SELECT DISTINCT date FROM {p}) q", p=PANEL)
+_BASKET = frame("SELECT f.date, d.day, f.code FROM (SELECT date, code, mom, rank() OVER (PARTITION BY date ORDER BY mom DESC) AS r, count(*) OVER (PARTITION BY date) AS n FROM {f} WHERE mom IS NOT NULL) f JOIN {d} d ON f.date = d.date WHERE f.r <= 0.2e0 * f.n", f=FACTOR, d=_DAY)
+_SCORED = frame("SELECT date, code, round((rm + rr + rl) / nullif(nm + nr + nl, 0), 8) AS score FROM (SELECT date, code, coalesce(a / nullif(ca, 0), 0) AS rm, coalesce(b / nullif(cb, 0), 0) AS rr, coalesce(c / nullif(cc, 0), 0) AS rl, CASE WHEN a IS NULL THEN 0 ELSE 1 END AS nm, CASE WHEN b IS NULL THEN 0 ELSE 1 END AS nr, CASE WHEN c IS NULL THEN 0 ELSE 1 END AS nl FROM (SELECT date, code, " + ", ".join(f"{rank_of(x, 'date')} AS {a}, count({x}) OVER (PARTITION BY date) AS c{a}" for x, a in (("mom", "a"), ("rev", "b"), ("liq", "c"))) + " FROM {f}) q) q2", f=FACTOR)
+_RANKS = frame("SELECT date, code, fwd, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS top, row_number() OVER (PARTITION BY date ORDER BY score, code DESC) AS bottom, count(*) OVER (PARTITION BY date) AS n FROM (SELECT s.date, s.code, s.score, f.fwd FROM {s} s JOIN {f} f ON s.date = f.date AND s.code = f.code WHERE s.score IS NOT NULL) q", s=_SCORED, f=FACTOR)
+_LS = frame("SELECT date, round(avg(CASE WHEN bucket = 5 THEN fwd END) - avg(CASE WHEN bucket = 1 THEN fwd END), 8) AS r FROM {b} GROUP BY date HAVING count(CASE WHEN bucket = 5 THEN 1 END) > 0 AND count(CASE WHEN bucket = 1 THEN 1 END) > 0", b=BUCKET)
+_PEAK = frame("SELECT strategy, date, nav, max(nav) OVER (PARTITION BY strategy ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM {n}", n=NAV)
+_TRADES = frame("SELECT l_suppkey AS account, l_shipdate AS time, l_orderkey, l_linenumber, l_partkey AS code, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS qty, l_extendedprice AS notional FROM {l}", l=LINES)
+_VALUES = frame(" UNION ALL ".join(f"SELECT 'panel' AS family, '{f}' AS factor, code AS symbol, date AS trade_date, round({f} + {k} * 0.001e0, 6) AS value, '{t}' AS value_type, 'v{k}' AS version, {k} AS load_seq FROM {{f}} WHERE {f} IS NOT NULL" for f, t, k in (("mom", "truth", 0), ("mom", "submitted", 1), ("mom", "submitted", 2), ("rev", "reproduced", 1), ("liq", "research", 1))), f=FACTOR)
+
+_SPEC = {
+    # information coefficients
+    "ic_daily": ("SELECT date, factor, ic, pearson, n FROM {i} WHERE ic IS NOT NULL", {"i": IC}),
+    "ic_daily_min3": ("SELECT date, factor, ic, n FROM {i} WHERE n >= 3 AND ic IS NOT NULL", {"i": IC}),
+    "ic_long": ("SELECT date, factor, ic, n FROM {i} WHERE n >= 10", {"i": IC}),
+    "ic_summary": ("SELECT factor, count(*) AS n, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS win_rate, max(ic) AS ic_max, min(ic) AS ic_min, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0), 5) AS t_stat FROM {i} GROUP BY factor", {"i": IC5}),
+    "ic_summary_pop": ("SELECT factor, round(avg(ic), 6) AS ic_mean, round(avg(ic) / nullif(stddev_pop(ic), 0), 6) AS icir FROM {i} GROUP BY factor", {"i": IC5}),
+    "ic_yearly": ("SELECT factor, CAST(year(date) AS INT) AS year, count(*) AS n, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std FROM {i} GROUP BY factor, year(date)", {"i": IC5}),
+    "ic_rank_table": ("SELECT factor, icir, CAST(row_number() OVER (ORDER BY abs(icir) DESC, factor) AS BIGINT) AS place FROM (SELECT factor, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir FROM {i} GROUP BY factor) q", {"i": IC5}),
+    "ic_truth_match": ("SELECT a.factor, a.date, abs(a.ic - b.ic) AS gap, abs(a.ic - b.ic) < 1e-4 AS same FROM {i} a JOIN {j} b ON a.date = b.date AND a.factor = b.factor", {"i": IC5, "j": frame("SELECT date, factor, CASE WHEN dayofmonth(date) % 7 = 0 THEN ic + 0.01e0 ELSE ic END AS ic FROM {i}", i=IC5)}),
+    "ic_tstat": ("SELECT factor, round(t, 5) AS t_stat, abs(t) >= 1.65e0 AS telling FROM (SELECT factor, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) AS t FROM {i} GROUP BY factor) q", {"i": IC5}),
+    "ic_trend": ("SELECT factor, round(regr_slope(ic, day), 8) AS slope, round(regr_intercept(ic, day), 6) AS start, round(regr_r2(ic, day), 6) AS r2, round(avg(CASE WHEN day * 2 <= days THEN ic END), 6) AS first_half, round(avg(CASE WHEN day * 2 > days THEN ic END), 6) AS second_half FROM (SELECT factor, ic, CAST(row_number() OVER (PARTITION BY factor ORDER BY date) AS DOUBLE) AS day, count(*) OVER (PARTITION BY factor) AS days FROM {i}) q GROUP BY factor", {"i": IC5}),
+    "ic_rolling": ("SELECT factor, date, round(ic60, 6) AS ic60 FROM (SELECT factor, date, avg(ic) OVER (PARTITION BY factor ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS ic60, row_number() OVER (PARTITION BY factor ORDER BY date) AS k FROM {i}) q WHERE k >= 60 AND (k - 60) % 20 = 0", {"i": IC5}),
+    "oos_split": ("SELECT factor, split, count(*) AS n, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std FROM (SELECT factor, ic, CASE WHEN row_number() OVER (PARTITION BY factor ORDER BY date) <= floor(count(*) OVER (PARTITION BY factor) * 0.7e0) THEN 'in' ELSE 'out' END AS split FROM {i}) q GROUP BY factor, split", {"i": IC5}),
+    "fdr_bh": ("SELECT factor, round(least(1.0e0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value, round(least(1.0e0, p * m), 6) AS bonferroni FROM (SELECT factor, p, row_number() OVER (ORDER BY p, factor) AS k, count(*) OVER () AS m FROM (SELECT factor, round(1 / (1 + abs(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0))), 8) AS p FROM {i} GROUP BY factor) q) r", {"i": IC5}),
+    "red_flags": ("SELECT factor, coverage < 0.3e0 AS low_coverage, days < 120 AS few_days, abs(ic_mean) < 0.01e0 AS weak_ic, abs(t) < 1.65e0 AS weak_t FROM (SELECT c.factor, c.coverage, count(*) AS days, avg(i.ic) AS ic_mean, avg(i.ic) / nullif(stddev_samp(i.ic) / sqrt(count(*)), 0) AS t FROM {c} c JOIN {i} i ON c.factor = i.factor GROUP BY c.factor, c.coverage) q", {"i": IC5, "c": frame("SELECT factor, count(value) * 1.0e0 / count(*) AS coverage FROM {l} GROUP BY factor", l=LONG)}),
+    "validation_gates": ("SELECT factor, g1, g2, g3, g4, (g1 + g2 + g3 + g4) / 4.0e0 AS passed, (g1 + g2 + g3 + g4) >= 2 AS verdict FROM (SELECT factor, CASE WHEN abs(avg(ic)) >= 0.01e0 THEN 1 ELSE 0 END AS g1, CASE WHEN abs(avg(ic) / nullif(stddev_samp(ic), 0)) >= 0.1e0 THEN 1 ELSE 0 END AS g2, CASE WHEN count(*) >= 120 THEN 1 ELSE 0 END AS g3, CASE WHEN avg(CASE WHEN ic > 0 THEN 1.0e0 ELSE 0.0e0 END) >= 0.5e0 THEN 1 ELSE 0 END AS g4 FROM {i} GROUP BY factor) q", {"i": IC5}),
+    # factors among each other
+    "factor_corr_matrix": ("SELECT 'mom' AS a, 'rev' AS b, round(" + corr_of("mom", "rev") + ", 6) AS corr FROM {f} UNION ALL SELECT 'mom', 'liq', round(" + corr_of("mom", "liq") + ", 6) FROM {f} UNION ALL SELECT 'mom', 'rng', round(" + corr_of("mom", "rng") + ", 6) FROM {f} UNION ALL SELECT 'rev', 'liq', round(" + corr_of("rev", "liq") + ", 6) FROM {f} UNION ALL SELECT 'rev', 'rng', round(" + corr_of("rev", "rng") + ", 6) FROM {f} UNION ALL SELECT 'liq', 'rng', round(" + corr_of("liq", "rng") + ", 6) FROM {f}", {"f": FACTOR}),
+    "factor_similarity": ("SELECT a, b, count(*) AS n, round(avg(c), 6) AS corr, round(stddev_pop(c), 6) AS corr_std FROM (SELECT x.factor AS a, y.factor AS b, x.date, " + corr_of("x.r", "y.r") + " AS c FROM {x} x JOIN {x} y ON x.date = y.date AND x.code = y.code AND x.factor < y.factor GROUP BY x.factor, y.factor, x.date HAVING count(CASE WHEN x.r IS NOT NULL AND y.r IS NOT NULL THEN 1 END) >= 10) q WHERE c IS NOT NULL GROUP BY a, b", {"x": frame(f"SELECT date, code, factor, {rank_of('value', 'date, factor')} AS r FROM {{l}}", l=LONG)}),
+    "factor_coverage": ("SELECT factor, count(value) AS n, round(count(value) * 1.0e0 / (count(DISTINCT code) * count(DISTINCT date)), 6) AS coverage FROM {l} GROUP BY factor", {"l": LONG}),
+    "combined_factor": ("SELECT date, code, round((coalesce((mom - mm) / nullif(sm, 0), 0) - coalesce((rev - mr) / nullif(sr, 0), 0)) / 2, 6) AS value FROM {f} CROSS JOIN (SELECT avg(mom) AS mm, stddev_samp(mom) AS sm, avg(rev) AS mr, stddev_samp(rev) AS sr FROM {f}) q", {"f": FACTOR}),
+    "sector_r2": ("SELECT round(avg(CASE WHEN sst > 1e-12 THEN ssb / sst END), 6) AS r2, count(*) AS days FROM (SELECT date, sum(power(gm - m, 2)) AS ssb, sum(power(mom - m, 2)) AS sst FROM (SELECT f.date, f.mom, avg(f.mom) OVER (PARTITION BY f.date) AS m, avg(f.mom) OVER (PARTITION BY f.date, p.sector) AS gm FROM {f} f JOIN {p} p ON f.date = p.date AND f.code = p.code WHERE f.mom IS NOT NULL) q GROUP BY date) r", {"f": FACTOR, "p": PANEL}),
+    "sector_neutrality": ("SELECT round(avg(before), 6) AS ic_before, round(avg(after), 6) AS ic_after FROM (SELECT date, " + corr_of("mom", "fwd") + " AS before, " + corr_of("neutral", "fwd") + " AS after FROM (SELECT f.date, f.mom, f.fwd, f.mom - avg(f.mom) OVER (PARTITION BY f.date, p.sector) AS neutral FROM {f} f JOIN {p} p ON f.date = p.date AND f.code = p.code WHERE f.mom IS NOT NULL AND f.fwd IS NOT NULL) q GROUP BY date HAVING count(*) >= 5) r", {"f": FACTOR, "p": PANEL}),
+    # buckets and turnover
+    "quantile_bucket": ("SELECT date, code, bucket FROM {b}", {"b": BUCKET}),
+    "quantile_returns": ("SELECT bucket, count(*) AS days, round(avg(r), 6) AS mean_return FROM (SELECT date, bucket, avg(fwd) AS r FROM {b} GROUP BY date, bucket) q GROUP BY bucket", {"b": BUCKET}),
+    "group_returns": ("SELECT date, " + ", ".join(f"round(avg(CASE WHEN bucket = {k} THEN fwd END), 6) AS g{k}" for k in range(1, 6)) + " FROM {b} GROUP BY date", {"b": BUCKET}),
+    "long_short_series": ("SELECT date, round(r, 6) AS long_short FROM {s}", {"s": _LS}),
+    "monotonicity": ("SELECT round(" + corr_of("b", "r") + ", 6) AS monotonicity FROM (SELECT CAST(bucket AS DOUBLE) AS b, CAST(rank() OVER (ORDER BY m) AS DOUBLE) AS r FROM (SELECT bucket, avg(fwd) AS m FROM {b} GROUP BY bucket) q) s", {"b": BUCKET}),
+    "basket_turnover": ("SELECT a.date, round(1 - count(b.code) * 1.0e0 / max(p.n), 6) AS turnover FROM {x} a LEFT JOIN {x} b ON a.code = b.code AND a.day = b.day + 1 JOIN (SELECT day, count(*) AS n FROM {x} GROUP BY day) p ON p.day = a.day - 1 GROUP BY a.date", {"x": _BASKET}),
+    "jaccard_turnover": ("SELECT a.date, round(1 - count(b.code) * 1.0e0 / (count(*) + max(p.n) - count(b.code)), 6) AS turnover FROM {x} a LEFT JOIN {x} b ON a.code = b.code AND a.day = b.day + 1 JOIN (SELECT day, count(*) AS n FROM {x} GROUP BY day) p ON p.day = a.day - 1 GROUP BY a.date", {"x": _BASKET}),
+    "rank_autocorr_turnover": ("SELECT CAST(day AS BIGINT) AS day, round(1 - " + corr_of("r", "before") + ", 6) AS turnover FROM (SELECT a.day, a.r, b.r AS before FROM {x} a JOIN {x} b ON a.code = b.code AND a.day = b.day + 1) q GROUP BY day HAVING count(*) >= 3", {"x": frame(f"SELECT d.day, f.code, {rank_of('f.mom', 'd.day')} AS r FROM {{f}} f JOIN {{d}} d ON f.date = d.date WHERE f.mom IS NOT NULL", f=FACTOR, d=_DAY)}),
+    "top_bottom_spread": ("SELECT date, round(avg(CASE WHEN mom >= hi THEN fwd END) - avg(CASE WHEN mom <= lo THEN fwd END), 6) AS spread FROM (SELECT f.date, f.mom, f.fwd, q.hi, q.lo FROM {f} f JOIN (SELECT date, max(CASE WHEN pr <= 0.2e0 THEN mom END) AS lo, min(CASE WHEN pr >= 0.8e0 THEN mom END) AS hi FROM (SELECT date, mom, cume_dist() OVER (PARTITION BY date ORDER BY mom) AS pr FROM {f} WHERE mom IS NOT NULL) a GROUP BY date) q ON f.date = q.date WHERE f.mom IS NOT NULL AND f.fwd IS NOT NULL) r GROUP BY date", {"f": FACTOR}),
+    # truth
+    "truth_compare": ("SELECT count(*) AS n, count(CASE WHEN truth IS NOT NULL AND submitted IS NOT NULL THEN 1 END) AS overlap, count(CASE WHEN abs(submitted - truth) <= 1e-8 THEN 1 END) AS exact, round(max(abs(submitted - truth)), 6) AS max_error, round(avg(abs(submitted - truth)), 6) AS mean_error FROM {t}", {"t": _TRUTH}),
+    "truth_status": ("SELECT CASE WHEN overlap < 0.9e0 THEN 'not_compared' WHEN exact >= 0.99e0 AND max_error <= 1e-8 THEN 'passed' WHEN exact >= 0.9e0 THEN 'partial' ELSE 'failed' END AS status, overlap, exact FROM (SELECT round(count(CASE WHEN truth IS NOT NULL AND submitted IS NOT NULL THEN 1 END) * 1.0e0 / count(submitted), 6) AS overlap, round(count(CASE WHEN abs(submitted - truth) <= 1e-8 THEN 1 END) * 1.0e0 / nullif(count(CASE WHEN truth IS NOT NULL AND submitted IS NOT NULL THEN 1 END), 0), 6) AS exact, max(abs(submitted - truth)) AS max_error FROM {t}) q", {"t": _TRUTH}),
+    "truth_daily_corr": ("SELECT date, round(" + corr_of("submitted", "truth") + ", 6) AS corr FROM {t} GROUP BY date HAVING count(CASE WHEN truth IS NOT NULL AND submitted IS NOT NULL THEN 1 END) >= 3", {"t": _TRUTH}),
+    "truth_frame_quality": ("SELECT count(*) AS n, count(truth) AS filled, round(count(truth) * 1.0e0 / count(*), 6) AS coverage, CAST(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicate_rows FROM (SELECT truth, count(*) OVER (PARTITION BY date, code) AS k FROM {t}) q", {"t": _TRUTH}),
+    # panels
+    "panel_load": ("SELECT date, code, open, high, low, close, volume, amount, sector, industry, subindustry FROM {p}", {"p": PANEL}),
+    "panel_quality": ("SELECT count(*) AS n, count(DISTINCT code) AS codes, count(DISTINCT date) AS dates, min(date) AS first_date, max(date) AS last_date, count(CASE WHEN high < low THEN 1 END) AS crossed, round(avg(CASE WHEN volume = 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS idle, round(count(close) * 1.0e0 / count(*), 6) AS coverage FROM {p}", {"p": PANEL}),
+    "universe_by_coverage": ("SELECT code, days FROM (SELECT code, count(DISTINCT date) AS days FROM {p} GROUP BY code) q CROSS JOIN (SELECT count(DISTINCT date) AS total FROM {p}) t WHERE days >= ceil(total * 0.95e0)", {"p": PANEL}),
+    "monthly_resample": ("SELECT code, CAST(date_trunc('month', date) AS DATE) AS month, round(sum(fwd), 6) AS ret, round(avg(mom), 6) AS factor FROM {f} GROUP BY code, date_trunc('month', date)", {"f": FACTOR}),
+    "freshness_check": ("SELECT max(date) AS last_date, count(CASE WHEN date = last THEN 1 END) AS codes, count(CASE WHEN date = last THEN 1 END) >= 20 AS enough FROM (SELECT date, max(date) OVER () AS last FROM {p}) q", {"p": PANEL}),
+    "panel_to_wide": ("SELECT date, " + ", ".join(f"max(CASE WHEN code = 'Brand#{a}{b}' THEN close END) AS b{a}{b}" for a in range(1, 6) for b in range(1, 6)) + " FROM {p} GROUP BY date", {"p": PANEL}),
+    "adjusted_prices": ("SELECT p.date, p.code, round(p.close / coalesce(a.factor, 1.0e0), 6) AS close_adj FROM {p} p LEFT JOIN (SELECT code, 1 + (count(*) % 7) / 10.0e0 AS factor FROM {p} WHERE sector <> 'sector0' GROUP BY code) a ON p.code = a.code", {"p": PANEL}),
+    "asof_join": ("SELECT o_orderkey, snap FROM (SELECT o.o_orderkey, max(p.date) AS snap FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM {o} WHERE o_orderkey % 97 = 0) o JOIN (SELECT DISTINCT date FROM {p}) p ON p.date <= o.d AND p.date > o.d - INTERVAL 60 DAY GROUP BY o.o_orderkey) q", {"o": ORDERS, "p": PANEL}),
+    # signals and portfolios
+    "alpha_score": ("SELECT date, code, round(score, 6) AS score FROM {s}", {"s": _SCORED}),
+    "target_weights": ("SELECT date, code, round(least(1.0e0 / least(n, 8), 0.1e0), 6) AS weight FROM {r} WHERE top <= 8", {"r": _RANKS}),
+    "long_short_targets": ("SELECT date, code, CASE WHEN top <= leg THEN 'long' ELSE 'short' END AS side, round(CASE WHEN top <= leg THEN 1 ELSE -1 END * least(0.5e0 / leg, 0.1e0), 6) AS weight FROM (SELECT date, code, top, bottom, least(5, CAST(floor(n / 2.0e0) AS INT)) AS leg FROM {r}) q WHERE leg > 0 AND (top <= leg OR bottom <= leg)", {"r": _RANKS}),
+    "rebalance_dates": ("SELECT 'month' AS kind, CAST(date_trunc('month', date) AS DATE) AS period, max(date) AS date FROM {p} GROUP BY date_trunc('month', date) UNION ALL SELECT 'quarter', CAST(date_trunc('quarter', date) AS DATE), max(date) FROM {p} GROUP BY date_trunc('quarter', date)", {"p": PANEL}),
+    "topk_backtest": ("SELECT date, round(avg(CASE WHEN top <= 5 THEN fwd END) - 0.0015e0, 6) AS long_only, round(avg(CASE WHEN top <= 5 THEN fwd END) - avg(CASE WHEN bottom <= 5 THEN fwd END) - 0.003e0, 6) AS long_short FROM {r} WHERE n >= 10 GROUP BY date", {"r": _RANKS}),
+    "long_short_backtest": ("SELECT count(*) AS days, round(avg(r) * 52, 5) AS annual, round(stddev_samp(r) * sqrt(52), 5) AS volatility, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(52), 5) AS sharpe, round(min(r), 6) AS worst FROM {s}", {"s": _LS}),
+    "cum_nav_long_short": ("SELECT date, round(exp(sum(ln(1 + greatest(r, -0.999e0))) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 4) AS nav FROM {s}", {"s": _LS}),
+    "multi_factor_score": ("SELECT date, code, round((rm + rr) * 0.2e0 + rl * 0.4e0, 6) AS score FROM (SELECT date, code, " + ", ".join(f"{rank_of(x, 'date')} AS {a}" for x, a in (("mom", "rm"), ("rev", "rr"), ("liq", "rl"))) + " FROM {f}) q", {"f": FACTOR}),
+    "micro_cap": ("SELECT date, code, round(1.0e0 / 10, 6) AS weight FROM (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY cap, code) AS r, count(*) OVER (PARTITION BY date) AS n FROM {p}) q WHERE r <= 10 AND n >= 10", {"p": PANEL}),
+    "sector_capped_pool": ("SELECT date, code FROM (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY amount DESC, code) AS place FROM (SELECT date, code, amount, row_number() OVER (PARTITION BY date, sector ORDER BY amount DESC, code) AS own FROM {p}) q WHERE own <= 3) r WHERE place <= 8", {"p": PANEL}),
+    "liquid_pool": ("SELECT date, code, amount FROM (SELECT date, code, amount, row_number() OVER (PARTITION BY date ORDER BY amount DESC, code) AS r FROM {p} WHERE amount >= 20000 OR code IN ('Brand#11', 'Brand#22')) q WHERE r <= 10", {"p": PANEL}),
+    "mean_revert_signal": ("SELECT code, CASE WHEN z < -1.5e0 THEN 'buy' WHEN z > 1.5e0 THEN 'sell' WHEN z < 0 THEN 'watch' ELSE 'hold' END AS signal FROM (SELECT code, (close - avg(close) OVER w) / nullif(stddev_pop(close) OVER w, 0) AS z, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS k FROM {p} WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) q WHERE k = 1", {"p": PANEL}),
+    "grid_position": ("SELECT date, code, round(greatest(0.0e0, least(1.0e0, (close - lo) / nullif(hi - lo, 0))), 6) AS position FROM (SELECT date, code, close, min(low) OVER (PARTITION BY code) AS lo, max(high) OVER (PARTITION BY code) AS hi FROM {p}) q", {"p": PANEL}),
+    "lot_size": ("SELECT code, l_orderkey, CASE WHEN code % 3 = 0 AND qty >= 200 THEN qty WHEN code % 3 = 0 THEN 0 ELSE floor(qty / 100) * 100 END AS lots FROM (SELECT code, l_orderkey, qty * 37 AS qty FROM {t}) q", {"t": _TRADES}),
+    "a_share_fee": ("SELECT l_orderkey, l_linenumber, side, round(greatest(notional * 0.0003e0, 5) + CASE WHEN side = 'SELL' THEN notional * 0.001e0 ELSE 0 END, 4) AS fee FROM {t}", {"t": _TRADES}),
+    "notional_turnover": ("SELECT account, round(sum(abs(notional)) / (2 * avg(notional) * count(DISTINCT CAST(time AS DATE))), 4) AS turnover FROM {t} GROUP BY account", {"t": _TRADES}),
+    "attribution": ("SELECT side, account % 5 AS book, round(sum(notional), 2) AS notional, round(sum(notional) / sum(sum(notional)) OVER (), 6) AS share FROM {t} GROUP BY side, account % 5", {"t": _TRADES}),
+    "position_net": ("SELECT account, code, round(sum(CASE WHEN side = 'BUY' THEN qty ELSE -qty END), 2) AS quantity, count(*) AS trades FROM {t} GROUP BY account, code", {"t": _TRADES}),
+    "concentration": ("SELECT date, round(sum(w * w), 6) AS hhi, round(sum(CASE WHEN r <= 5 THEN w END), 6) AS top5 FROM (SELECT date, amount / nullif(sum(amount) OVER (PARTITION BY date), 0) AS w, row_number() OVER (PARTITION BY date ORDER BY amount DESC, code) AS r FROM {p}) q GROUP BY date", {"p": PANEL}),
+    "sector_weights": ("SELECT date, sector, round(sum(amount) / nullif(sum(sum(amount)) OVER (PARTITION BY date), 0), 6) AS weight FROM {p} GROUP BY date, sector", {"p": PANEL}),
+    # NAV analytics
+    "performance_window": ("SELECT strategy, count(r) AS days, round(avg(r) * 52, 5) AS annual, round(stddev_pop(r) * sqrt(52), 5) AS volatility, round(sqrt(avg(power(least(r, 0.0e0), 2))) * sqrt(52), 5) AS downside, round(avg(r) / nullif(stddev_pop(r), 0) * sqrt(52), 5) AS sharpe, round(covar_pop(r, b) / nullif(var_pop(b), 0), 5) AS beta, round(stddev_pop(r - b) * sqrt(52), 5) AS tracking_error, round(avg(CASE WHEN r > 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS win_rate FROM {r} WHERE r IS NOT NULL GROUP BY strategy", {"r": RETURNS}),
+    "kpis": ("SELECT strategy, round(max(CASE WHEN last = 1 THEN nav END) - 1, 5) AS total_return, round(min(nav / peak - 1), 5) AS max_drawdown FROM (SELECT p.strategy, p.nav, p.peak, row_number() OVER (PARTITION BY p.strategy ORDER BY p.date DESC) AS last FROM {p} p) q GROUP BY strategy", {"p": _PEAK}),
+    "monthly_returns": ("SELECT strategy, month, round(nav / nullif(lag(nav) OVER (PARTITION BY strategy ORDER BY month), 0) - 1, 5) AS ret FROM (SELECT strategy, CAST(date_trunc('month', date) AS DATE) AS month, max_by(nav, date) AS nav FROM {n} GROUP BY strategy, date_trunc('month', date)) q", {"n": NAV}),
+    "yearly_returns": ("SELECT strategy, CAST(y AS INT) AS year, round(nav / nullif(lag(nav) OVER (PARTITION BY strategy ORDER BY y), 0) - 1, 5) AS ret FROM (SELECT strategy, year(date) AS y, max_by(nav, date) AS nav FROM {n} GROUP BY strategy, year(date)) q", {"n": NAV}),
+    "drawdown_events": ("SELECT strategy, round(peak, 6) AS peak, min(date) AS start, max(date) AS last, round(min(nav / peak - 1), 5) AS depth, count(*) AS n FROM {p} WHERE nav < peak GROUP BY strategy, peak HAVING min(nav / peak - 1) < -0.02e0", {"p": _PEAK}),
+    "longest_underwater": ("SELECT strategy, max(n) AS longest FROM (SELECT strategy, peak, count(*) AS n FROM {p} WHERE nav < peak GROUP BY strategy, peak) q GROUP BY strategy", {"p": _PEAK}),
+    "inverse_vol_weights": ("SELECT strategy, round((1 / v) / sum(1 / v) OVER (), 4) AS weight FROM (SELECT strategy, stddev_samp(r) AS v FROM {r} GROUP BY strategy HAVING count(r) >= 20 AND stddev_samp(r) > 0) q", {"r": RETURNS}),
+    "combined_nav": ("SELECT date, count(*) AS strategies, round(avg(nav), 6) AS nav FROM {n} GROUP BY date", {"n": NAV}),
+    "combined_returns": ("SELECT date, round(avg(r), 6) AS r FROM {r} WHERE r IS NOT NULL GROUP BY date HAVING count(*) >= 5", {"r": RETURNS}),
+    "strategy_corr": ("SELECT a.strategy AS a, b.strategy AS b, round(coalesce(" + corr_of("a.r", "b.r") + ", 0), 6) AS corr FROM {r} a JOIN {r} b ON a.date = b.date AND a.strategy < b.strategy WHERE a.strategy IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44', 'Brand#55') AND b.strategy IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44', 'Brand#55') GROUP BY a.strategy, b.strategy", {"r": RETURNS}),
+    "strategy_leaderboard": ("SELECT strategy, sharpe, runs, CAST(rank() OVER (ORDER BY sharpe DESC) AS BIGINT) AS place FROM (SELECT strategy, round(avg(r) / nullif(stddev_samp(r), 0), 5) AS sharpe, count(DISTINCT year(date)) AS runs FROM {r} GROUP BY strategy) q", {"r": RETURNS}),
+    "nav_period": ("SELECT strategy, date, nav FROM (SELECT strategy, date, nav, max(date) OVER (PARTITION BY strategy) AS last FROM {n}) q WHERE date > last - INTERVAL 90 DAY", {"n": NAV}),
+    "risk_rules": ("SELECT strategy, round(depth, 5) AS depth, depth < -0.3e0 AS deep, vol > 0.5e0 AS wild FROM (SELECT p.strategy, min(p.nav / p.peak - 1) AS depth, stddev_samp(r.r) * sqrt(52) AS vol FROM {p} p JOIN {r} r ON p.strategy = r.strategy AND p.date = r.date GROUP BY p.strategy) q", {"p": _PEAK, "r": RETURNS}),
+    "benchmark_align": ("SELECT strategy, date, round(nav / nullif(benchmark, 0), 6) AS relative FROM {n}", {"n": NAV}),
+    # warehouse
+    "merge_unique": ("SELECT family, factor, symbol, trade_date, value_type, value, version FROM (SELECT *, row_number() OVER (PARTITION BY family, factor, symbol, trade_date, value_type ORDER BY load_seq DESC) AS k FROM {v}) q WHERE k = 1", {"v": _VALUES}),
+    "normalize_values": ("SELECT family, factor, value_type, symbol, trade_date, version, value FROM (SELECT lower(trim(family)) AS family, lower(trim(factor)) AS factor, value_type, symbol, trade_date, version, value, row_number() OVER (PARTITION BY family, factor, value_type, symbol, trade_date, version ORDER BY load_seq DESC) AS k FROM {v}) q WHERE k = 1 AND value IS NOT NULL", {"v": _VALUES}),
+    "factor_values_summary": ("SELECT family, factor, value_type, version, count(*) AS n, count(DISTINCT symbol) AS symbols, min(trade_date) AS first_date, max(trade_date) AS last_date, round(avg(value), 6) AS mean_value FROM {v} GROUP BY family, factor, value_type, version", {"v": _VALUES}),
+    "publish_factor": ("SELECT family, factor, value_type, version, n FROM (SELECT family, factor, value_type, version, n, row_number() OVER (PARTITION BY family, factor ORDER BY CASE value_type WHEN 'truth' THEN 0 WHEN 'submitted' THEN 1 WHEN 'reproduced' THEN 2 ELSE 3 END, version DESC) AS k FROM (SELECT family, factor, value_type, version, count(*) AS n FROM {v} GROUP BY family, factor, value_type, version) q) r WHERE k = 1", {"v": _VALUES}),
+    "boolean_matrix_melt": ("SELECT o_orderkey, flag, value FROM (SELECT o_orderkey, 'urgent' AS flag, o_orderpriority LIKE '1%' AS value FROM {o} UNION ALL SELECT o_orderkey, 'open', o_orderstatus = 'O' FROM {o}) q", {"o": ORDERS}),
+    "catalog_counts": ("SELECT p_brand AS library, p_type AS category, count(*) AS n FROM {p} GROUP BY p_brand, p_type", {"p": PART}),
+    "canonical_symbol": ("SELECT s_suppkey, CASE WHEN raw LIKE '%.XSHG' THEN replace(raw, '.XSHG', '.SH') WHEN raw LIKE '%.XSHE' THEN replace(raw, '.XSHE', '.SZ') WHEN raw LIKE 'SHSE.%' THEN concat(substr(raw, 6), '.SH') WHEN substr(raw, 1, 1) = '6' THEN concat(raw, '.SH') ELSE concat(raw, '.SZ') END AS symbol FROM (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN concat('600', CAST(s_suppkey AS VARCHAR(20)), '.XSHG') WHEN 1 THEN concat('000', CAST(s_suppkey AS VARCHAR(20)), '.XSHE') WHEN 2 THEN concat('SHSE.6', CAST(s_suppkey AS VARCHAR(20))) ELSE concat('300', CAST(s_suppkey AS VARCHAR(20))) END AS raw FROM {s}) q", {"s": SUPPLIER}),
+    "dividend_yield_normalize": ("SELECT s_suppkey, round(CASE WHEN m > 1 THEN s_acctbal / 10000 ELSE s_acctbal END, 6) AS dividend_yield FROM {s} CROSS JOIN (SELECT avg(abs(s_acctbal)) AS m FROM {s}) q", {"s": SUPPLIER}),
+    "fundamental_growth": ("SELECT symbol, report, round(profit / nullif(equity, 0), 6) AS roe, round((profit - before) / nullif(abs(before), 0), 6) AS growth FROM (SELECT symbol, report, profit, equity, lag(profit) OVER (PARTITION BY symbol ORDER BY report) AS before FROM (SELECT c_nationkey AS symbol, CAST(date_trunc('year', o_orderdate) AS DATE) AS report, round(sum(o_totalprice), 2) AS profit, round(sum(abs(c_acctbal)), 2) AS equity FROM {c} JOIN {o} ON c_custkey = o_custkey GROUP BY c_nationkey, date_trunc('year', o_orderdate)) q) r", {"c": CUSTOMER, "o": ORDERS}),
+    "classify_sector": ("SELECT p_partkey, CASE WHEN p_type LIKE '%BRASS%' OR p_type LIKE '%COPPER%' THEN 'metal' WHEN p_type LIKE '%TIN%' THEN 'tin' WHEN p_size > 40 THEN 'large' ELSE concat('Other:', p_brand) END AS sector FROM {p}", {"p": PART}),
+    "traffic_daily": ("SELECT day, count(*) AS views, count(DISTINCT user_id) AS visitors, count(DISTINCT CASE WHEN user_id % 3 = 0 THEN user_id END) AS signed_in FROM (SELECT CAST(ts AS DATE) AS day, user_id FROM {e}) q GROUP BY day", {"e": EVENTS}),
+    "traffic_top_paths": ("SELECT day, event_type, n FROM (SELECT day, event_type, n, row_number() OVER (PARTITION BY day ORDER BY n DESC, event_type) AS k FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM {e} GROUP BY CAST(ts AS DATE), event_type) q) r WHERE k <= 5", {"e": EVENTS}),
+    "event_bars": ("SELECT event_type, bar, count(*) AS n, min_by(value, ts) AS open, max(value) AS high, min(value) AS low, max_by(value, ts) AS close FROM (SELECT event_type, date_trunc('day', ts) AS bar, ts, value FROM {e} WHERE event_id % 1 = 0) q GROUP BY event_type, bar HAVING count(*) = count(DISTINCT ts)", {"e": EVENTS}),
+    # documents
+    "doc_route_hints": ("SELECT doc_id, CASE WHEN lower(text) LIKE '%abstract%' OR lower(text) LIKE '%doi%' THEN 'paper' WHEN lower(text) LIKE '%license%' OR lower(text) LIKE '%copyright%' THEN 'legal' ELSE 'general' END AS hint FROM {d}", {"d": DOCS}),
+    "doc_completion": ("SELECT doc_id, greatest(10, least(98, 60 + CASE WHEN length(text) >= 50000 THEN 18 WHEN length(text) >= 25000 THEN 12 WHEN length(text) >= 8000 THEN 6 ELSE 0 END - CASE WHEN length(text) < 200 THEN 4 ELSE 0 END)) AS score FROM {d}", {"d": DOCS}),
+    "doc_evaluation": ("SELECT doc_id, CAST(length(text) - length(replace(text, '.', '')) AS BIGINT) AS stops, CAST(length(text) - length(replace(text, '|', '')) AS BIGINT) AS bars, CASE WHEN length(text) > 2000 THEN 5 WHEN length(text) > 500 THEN 3 ELSE 1 END AS completeness FROM {d}", {"d": DOCS}),
+}
+
+QUERIES = {name: SqlQuery(text, inputs) for name, (text, inputs) in _SPEC.items()}
