@@ -13,11 +13,15 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Pieces that a worker remembers.
-PIECE_CACHE = 250_000
+#: Pieces, and parts of pieces, that a worker remembers.
+PIECE_CACHE, PART_CACHE = 500_000, 400_000
+
+# Fixed value: the pattern of byte-level pre-tokenizers, as in the public vocabularies' description.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _RUN = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_UNUSUAL = re.compile("[^\n\x20-\x7e\xa1-\xff]")
 _EVERY = re.compile(r"(?=[ \n])")
 
 
@@ -48,26 +52,67 @@ def pieces(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
+def _plain_cut(path: str):
+    """(pattern, lower) if the file's pre-tokenizer is one of two known kinds: byte-level with its own
+    pattern, or a split by a pattern after NFC, blanks and lower case. Else None."""
+    how = json.loads(load(path).to_str())
+    norm, pre = how["normalizer"], how["pre_tokenizer"] or {}
+    if norm is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
+        return BYTE_PATTERN, False
+    steps = [x["type"] for x in (norm or {}).get("normalizers", [])]
+    parts = pre.get("pretokenizers", [])
+    if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"]:
+        if parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
+            return parts[0]["pattern"]["Regex"], True
+    return None
+
+
+class _Known(dict):
+    """Remembered results, worked out when first asked for; emptied when there are too many."""
+
+    def __init__(self, work, most: int):
+        super().__init__()
+        self.work, self.most = work, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        out = self[key] = self.work(key)
+        return out
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to the library's
-    ``encode(text, add_special_tokens=False)``."""
+    ``encode(text, add_special_tokens=False)``.
+
+    A new piece of printable Latin-1 characters is cut by the pre-tokenizer's pattern, whose classes,
+    lower case and normal form are certain there, and its parts are merged by the library's model; any other
+    piece, and any that may hold a special token, goes through the whole of the library.
+    """
 
     def __init__(self, path: str):
+        import regex
+
         self.tokenizer = load(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Known(self._piece, PIECE_CACHE)
+        self.parts = _Known(self._part, PART_CACHE)
+        self.letters = byte_alphabet()
+        self.merge = self.tokenizer.model.tokenize
+        self.special = [x["content"] for x in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        plain = _plain_cut(path)
+        self.cut, self.lower = (regex.compile(plain[0]).findall, plain[1]) if plain else (None, False)
+
+    def _piece(self, piece: str) -> bytes:
+        if self.cut is None or _UNUSUAL.search(piece) or any(x in piece for x in self.special):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        found = self.cut(piece.lower() if self.lower else piece)
+        return b"".join(map(self.parts.__getitem__, found))
+
+    def _part(self, part: str) -> bytes:
+        return array("I", [x.id for x in self.merge("".join(map(self.letters.__getitem__, part.encode("utf-8"))))]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        parts = pieces(text) if text else ()
-        known = self.known
-        new = [x for x in dict.fromkeys(parts) if x not in known]
-        if new:
-            if len(known) > PIECE_CACHE:
-                known.clear()
-                known[""] = b""
-                new = list(dict.fromkeys(x for x in parts if x))
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[x] = array("I", e.ids).tobytes()
-        return b"".join([known[x] for x in parts])
+        return b"".join(map(self.known.__getitem__, pieces(text))) if text else b""
 
 
 def byte_alphabet() -> dict[int, str]:
