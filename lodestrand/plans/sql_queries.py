@@ -118,6 +118,20 @@ _SPEC = {
     "doc_route_hints": ("SELECT doc_id, CASE WHEN lower(text) LIKE '%abstract%' OR lower(text) LIKE '%doi%' THEN 'paper' WHEN lower(text) LIKE '%license%' OR lower(text) LIKE '%copyright%' THEN 'legal' ELSE 'general' END AS hint FROM {d}", {"d": DOCS}),
     "doc_completion": ("SELECT doc_id, greatest(10, least(98, 60 + CASE WHEN length(text) >= 50000 THEN 18 WHEN length(text) >= 25000 THEN 12 WHEN length(text) >= 8000 THEN 6 ELSE 0 END - CASE WHEN length(text) < 200 THEN 4 ELSE 0 END)) AS score FROM {d}", {"d": DOCS}),
     "doc_evaluation": ("SELECT doc_id, CAST(length(text) - length(replace(text, '.', '')) AS BIGINT) AS stops, CAST(length(text) - length(replace(text, '|', '')) AS BIGINT) AS bars, CASE WHEN length(text) > 2000 THEN 5 WHEN length(text) > 500 THEN 3 ELSE 1 END AS completeness FROM {d}", {"d": DOCS}),
+    # more of evaluation and screens
+    "ic_decay": ("SELECT horizon, count(*) AS n, round(avg(c), 6) AS ic_mean, round(avg(c) / nullif(stddev_samp(c), 0), 6) AS icir FROM (SELECT date, 1 AS horizon, " + corr_of("mom", "fwd") + " AS c FROM {f} GROUP BY date HAVING count(CASE WHEN mom IS NOT NULL AND fwd IS NOT NULL THEN 1 END) >= 5 UNION ALL SELECT date, 4 AS horizon, " + corr_of("mom", "fwd4") + " AS c FROM {f} GROUP BY date HAVING count(CASE WHEN mom IS NOT NULL AND fwd4 IS NOT NULL THEN 1 END) >= 5) q WHERE c IS NOT NULL GROUP BY horizon", {"f": FACTOR}),
+    "ic_decay_later": ("SELECT lag, count(*) AS n, round(avg(c), 6) AS ic_mean FROM (SELECT date, 1 AS lag, " + corr_of("mom", "f1") + " AS c FROM {g} GROUP BY date UNION ALL SELECT date, 3 AS lag, " + corr_of("mom", "f3") + " AS c FROM {g} GROUP BY date UNION ALL SELECT date, 5 AS lag, " + corr_of("mom", "f5") + " AS c FROM {g} GROUP BY date) q WHERE c IS NOT NULL GROUP BY lag", {"g": frame("SELECT date, code, mom, fwd AS f1, lead(fwd, 2) OVER (PARTITION BY code ORDER BY date) AS f3, lead(fwd, 4) OVER (PARTITION BY code ORDER BY date) AS f5 FROM {f}", f=FACTOR)}),
+    "redundant_factors": ("SELECT a, b, round(c, 6) AS corr, abs(c) >= 0.85e0 AS redundant FROM (SELECT x.factor AS a, y.factor AS b, " + corr_of("x.value", "y.value") + " AS c FROM {l} x JOIN {l} y ON x.date = y.date AND x.code = y.code AND x.factor < y.factor GROUP BY x.factor, y.factor) q", {"l": LONG}),
+    "similar_factors_topk": ("SELECT factor, other, corr FROM (SELECT factor, other, corr, row_number() OVER (PARTITION BY factor ORDER BY abs(corr) DESC, other) AS k FROM (SELECT x.factor AS factor, y.factor AS other, round(" + corr_of("x.value", "y.value") + ", 6) AS corr FROM {l} x JOIN {l} y ON x.date = y.date AND x.code = y.code AND x.factor <> y.factor GROUP BY x.factor, y.factor) q) r WHERE k <= 2", {"l": LONG}),
+    "long_short_daily": ("SELECT date, round(avg(CASE WHEN pr >= 0.8e0 THEN fwd END), 6) AS long_leg, round(avg(CASE WHEN pr <= 0.2e0 THEN fwd END), 6) AS short_leg, count(*) AS n FROM (SELECT date, fwd, r / n AS pr FROM (SELECT date, fwd, " + rank_of("mom", "date") + " AS r, count(mom) OVER (PARTITION BY date) AS n FROM {f} WHERE mom IS NOT NULL AND fwd IS NOT NULL) a) b GROUP BY date HAVING count(*) >= 5", {"f": FACTOR}),
+    "barra_nonlinear_size": ("SELECT date, code, round(x * x * x - (intercept + slope * x), 4) AS nonlinear_size FROM (SELECT date, code, ln(cap) - 20 AS x FROM {p} WHERE cap > 0) a CROSS JOIN (SELECT regr_slope(x * x * x, x) AS slope, regr_intercept(x * x * x, x) AS intercept FROM (SELECT ln(cap) - 20 AS x FROM {p} WHERE cap > 0) b) c", {"p": PANEL}),
+    "etf_score": ("SELECT date, code, round(0.45e0 * zm + 0.3e0 * zr - 0.1e0 * zl, 6) AS score FROM (SELECT date, code, " + ", ".join(f"coalesce(({x} - avg({x}) OVER (PARTITION BY date)) / nullif(stddev_pop({x}) OVER (PARTITION BY date), 0), 0) AS {a}" for x, a in (("mom", "zm"), ("rev", "zr"), ("liq", "zl"))) + " FROM {f} WHERE mom > -0.9e0 AND rng < 5 AND rev IS NOT NULL AND liq IS NOT NULL) q", {"f": FACTOR}),
+    "stock_screen": ("SELECT p_partkey FROM {p} WHERE p_retailprice > 3 AND p_size BETWEEN 1 AND 40 AND NOT p_name LIKE 'ST%' AND p_type NOT LIKE '%TIN%'", {"p": PART}),
+    "dividend_topn": ("SELECT report, symbol, place FROM (SELECT report, symbol, CAST(row_number() OVER (PARTITION BY report ORDER BY roe DESC, symbol) AS BIGINT) AS place FROM (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS report, c_nationkey AS symbol, round(sum(o_totalprice) / nullif(sum(abs(c_acctbal)), 0), 8) AS roe FROM {c} JOIN {o} ON c_custkey = o_custkey GROUP BY c_nationkey, date_trunc('year', o_orderdate)) q) r WHERE place <= 20", {"c": CUSTOMER, "o": ORDERS}),
+    "overlap_of_dates": ("SELECT date FROM {n} WHERE strategy IN ('Brand#11', 'Brand#22', 'Brand#33') GROUP BY date HAVING count(DISTINCT strategy) = 3", {"n": NAV}),
+    "holdings_sold": ("SELECT a.date, a.code FROM {x} a LEFT JOIN {x} b ON a.code = b.code AND b.day = a.day + 1 WHERE b.code IS NULL", {"x": _BASKET}),
+    "values_json": ("SELECT factor, symbol, trade_date, value FROM {v} WHERE value_type = 'submitted' AND version = 'v2' AND value IS NOT NULL AND symbol IS NOT NULL", {"v": _VALUES}),
+    "quality_gate": ("SELECT strategy, count(*) AS days, count(gap) = count(*) - 1 AS increasing, min(CASE WHEN nav > 0 THEN 1 ELSE 0 END) = 1 AS finite, max(nav) > min(nav) AS moves FROM (SELECT strategy, nav, CAST(date - lag(date) OVER (PARTITION BY strategy ORDER BY date) AS STRING) AS gap FROM {n}) q GROUP BY strategy", {"n": NAV}),
 }
 
 QUERIES = {name: SqlQuery(text, inputs) for name, (text, inputs) in _SPEC.items()}
