@@ -22,6 +22,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _RUN = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _UNUSUAL = re.compile("[^\n\x20-\x7e\xa1-\xff]")
+_STOPS = (".", ",")
 _EVERY = re.compile(r"(?=[ \n])")
 
 
@@ -42,10 +43,10 @@ def vocabulary_size(path: str) -> int:
     return load(path).get_vocab_size(with_added_tokens=True)
 
 
-def pieces(text: str) -> list[str]:
+def pieces(text: str, runs: bool = True) -> list[str]:
     """The parts of a text that can be encoded alone; joined they are the text. Runs of white space
-    are never cut, as byte-level vocabularies treat a run as one."""
-    if _RUN.search(text):
+    are not cut, as byte-level vocabularies treat a run as one, unless ``runs`` is false."""
+    if runs and _RUN.search(text):
         return _SINGLE.split(text)
     if "\0" in text:
         return _EVERY.split(text)
@@ -101,18 +102,31 @@ class Encoder:
         self.special = [x["content"] for x in json.loads(self.tokenizer.to_str())["added_tokens"]]
         plain = _plain_cut(path)
         self.cut, self.lower = (regex.compile(plain[0]).findall, plain[1]) if plain else (None, False)
+        self.signs = "".join({x[:1] for x in self.special})
 
     def _piece(self, piece: str) -> bytes:
-        if self.cut is None or _UNUSUAL.search(piece) or any(x in piece for x in self.special):
+        if self.cut is None or _UNUSUAL.search(piece) or any(c in piece for c in self.signs) and any(x in piece for x in self.special):
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        found = self.cut(piece.lower() if self.lower else piece)
-        return b"".join(map(self.parts.__getitem__, found))
+        parts = self.parts
+        if self.lower:  # white space is dropped; letters alone, or with one stop or comma, need no pattern
+            piece = piece.lower()
+            word = piece[1:] if piece[0] in " \n" else piece
+            if word.isalpha():
+                return parts[word]
+            if word[-1:] in _STOPS and word[:-1].isalpha():
+                return parts[word[:-1]] + parts[word[-1]]
+        elif piece[0] == " ":
+            if piece[1:].isalpha():
+                return parts[piece]
+            if piece[-1] in _STOPS and piece[1:-1].isalpha():
+                return parts[piece[:-1]] + parts[piece[-1]]
+        return b"".join(map(parts.__getitem__, self.cut(piece)))
 
     def _part(self, part: str) -> bytes:
         return array("I", [x.id for x in self.merge("".join(map(self.letters.__getitem__, part.encode("utf-8"))))]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.known.__getitem__, pieces(text))) if text else b""
+        return b"".join(map(self.known.__getitem__, filter(None, pieces(text, not self.lower)))) if text else b""
 
 
 def byte_alphabet() -> dict[int, str]:
