@@ -19,7 +19,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestrand.llm.common import map_batches, materialize, release, texts_of
 from lodestrand.llm.components import connected_components
@@ -31,7 +30,9 @@ class Params:
     percent: int = 80  #: documents are linked if 100 * |intersection| >= percent * |union|
     sketches: int = 16  #: K, sketches in each of the two collections
     rows: int = 3  #: R, minimum hashes in a sketch
-    first_span: int = 16  #: partners of a straggler tried in the first round; eight times as many in each later one
+    pivots: int = 128  #: members of a cluster's largest component that the others are tried against first
+    block: int = 200  #: sets that a task holds while others stream past
+    stream: int = 4000  #: sets that stream past in one task
     seed: int = 7
 
 
@@ -86,7 +87,7 @@ def _multipliers(p: Params) -> np.ndarray:
 
 
 def _signatures(p: Params):
-    """Batches of (doc_id, text) to (doc_id, n_shingles, fp, keys, sig)."""
+    """Batches of (doc_id, text) to (doc_id, n_shingles, fp, keys)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, a = Shingler(p.words), _multipliers(p)
@@ -97,7 +98,7 @@ def _signatures(p: Params):
         def flush(sets: list[np.ndarray]):
             full = [s for s in sets if len(s)]
             if not full:
-                return np.empty((0, tables), np.int64), np.empty((0, 2 * tables * p.rows), np.uint8)
+                return np.empty((0, tables), np.int64)
             x, starts = np.concatenate(full), np.cumsum([0] + [len(s) for s in full[:-1]])
             low = np.empty((len(full), len(a)), np.uint64)
             for k in range(len(a)):
@@ -106,19 +107,18 @@ def _signatures(p: Params):
             for r in range(p.rows):
                 key = _mix(key * _SHINGLE + low.reshape(len(full), tables, p.rows)[:, :, r])
             key = (key & ~_S1) | side
-            return key.view(np.int64), (low >> np.uint64(40)).astype("<u2").view(np.uint8).reshape(len(full), -1)
+            return key.view(np.int64)
 
         for batch in batches:
-            ids, n, fp, keys, sig = [], [], [], [], []
+            ids, n, fp, keys = [], [], [], []
             sets: list[np.ndarray] = []
             size = 0
 
             def settle():
-                k, s = flush(sets)
+                k = flush(sets)
                 at = 0
                 for x in sets:
                     keys.append(k[at] if len(x) else None)
-                    sig.append(s[at].tobytes() if len(x) else None)
                     at += bool(len(x))
                 sets.clear()
 
@@ -134,8 +134,8 @@ def _signatures(p: Params):
                     size = 0
             settle()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "fp", "keys", "sig"],
+                [pa.array(ids, batch.schema.field(0).type), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "fp", "keys"],
             )
 
     return run
@@ -170,19 +170,38 @@ def _confirm(percent: int):
     return run
 
 
-def _may_link(p: Params):
-    """Batches of (u, v, n, m, sig, other) to the (u, v) that can be linked: sizes that allow it, and
-    an estimate from the minimum hashes above 0.5, more than seven standard deviations below 0.8."""
-    least = int((p.percent / 100 - 0.3) * 2 * p.sketches * p.rows)
+def _block_links(percent: int):
+    """Batches of (cluster, block, salt, side, id, comp, items), sorted, to links (u, v). The rows of side 0 of a
+    (cluster, block, salt) are held, those of side 1 stream past and are compared with all held at once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, index = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in (4, 5))
-            keep = (100 * np.minimum(n, m) >= p.percent * np.maximum(n, m)) & ((x == y).sum(1) >= least)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            u, v = [], []
+            for k, side, name, comp, items in zip(zip(*(batch.column(c).to_pylist() for c in range(3))), *(batch.column(c).to_pylist() for c in range(3, 7))):
+                if k != key:
+                    key, held, index = k, [], None
+                one = np.frombuffer(items, np.uint64)
+                if side == 0:
+                    held.append((name, comp, one))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    sizes = np.array([len(x) for _, _, x in held])
+                    every, owner = np.concatenate([x for _, _, x in held]), np.repeat(np.arange(len(held)), sizes)
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], owner[order], sizes, np.array([c for _, c, _ in held])
+                every, owner, sizes, comps = index
+                low, high = np.searchsorted(every, one, "left"), np.searchsorted(every, one, "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(held))
+                for h in np.flatnonzero((100 * both >= percent * (sizes + len(one) - both)) & (comps != comp)):
+                    u.append(held[h][0])
+                    v.append(name)
+            kind = batch.schema.field(4).type
+            yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
 
     return run
 
@@ -193,9 +212,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     Rows are first put into classes of equal shingle sets, so copies never meet in pairs. Class
     representatives get table keys; sketches that nobody shares are dropped before the pairs of
     sketches are formed. In each bucket all members are checked against one centre, so a bucket of
-    n makes n pairs. What a bucket then still holds apart is tried further: each member outside
-    the bucket's largest component against 16 other members, then 128, 1024 and so on up to all,
-    each time only while it is still apart. So every pair in a bucket is either joined by other links or checked.
+    n makes n pairs. Buckets that share members form clusters, and what a cluster then still holds apart is
+    compared exactly: members outside its largest component first with some pivots of that
+    component, then those still apart with all members. Such comparisons hold a block of sets in a task
+    while a bounded number of others stream past; they make rows for links only, not for pairs.
 
     Null or empty texts, and texts without words, have an empty set: n_shingles 0, linked with
     nothing. Rows with a null id are returned alone, with a null component and kept true. Rows that share an id
@@ -204,9 +224,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     spark = docs.sparkSession
     texts = texts_of(docs, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    sig, _ = materialize(map_batches(texts, _signatures(p), f"doc_id {kind}, n_shingles long, fp binary, keys array<long>, sig binary"), "signatures")
+    sig, _ = materialize(map_batches(texts, _signatures(p), f"doc_id {kind}, n_shingles long, fp binary, keys array<long>"), "signatures")
     classes, _ = materialize(sig.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sig.join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig")
+    reps = sig.join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"]).select(F.col("doc_id").alias("rep"), "keys")
 
     each = reps.select("rep", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
@@ -218,7 +238,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     centres = tables.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
     star, star_at = materialize(tables.join(centres, "key").filter("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), "star")
     wanted = star.select(F.col("u").alias("id")).union(star.select(F.col("v").alias("id"))).distinct()
-    chosen = texts.filter("doc_id is not null").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    # one plan at every size: the hint keeps a small set of ids from being broadcast
+    chosen = texts.filter("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
     sets, sets_at = materialize(map_batches(chosen, _sets(p), f"id {kind}, items binary"), "sets")
 
     def confirm(found: DataFrame) -> DataFrame:
@@ -227,31 +248,34 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
 
     links, links_at = materialize(confirm(star), "links")
     comps, comps_at = connected_components(links)
-    release(spark, star_at)
-
-    lines = reps.select("rep", "n_shingles", "sig")
-    low, high, rest_at = 1, p.first_span, tables_at
-    rest = tables.withColumn("place", F.lit(0)).withColumn("size", F.lit(0))
-    while True:
-        now = rest.select("key", "rep", "place", "size").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = now.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", "n").alias("main")).filter("comps > 1").select("key", "main")
-        now = now.join(mixed, "key")
-        if low == 1:
-            order = Window.partitionBy("key").orderBy(F.xxhash64("rep", "key"), "rep")
-            now = now.withColumn("place", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(Window.partitionBy("key")).cast("int"))
-        now, now_at = materialize(now, "apart")
-        release(spark, rest_at)
-        rest, rest_at = now, now_at
-        most = now.agg(F.max("size")).first()[0]
-        if most is None or most <= low:
+
+    clusters, clusters_at = connected_components(star)
+    clusters = clusters.withColumnRenamed("comp", "cluster")
+    release(spark, tables_at, star_at)
+    for pivots, last in ((p.pivots, False), (0, True)):
+        now = clusters.join(comps, "id", "left").select("cluster", "id", F.coalesce("comp", "id").alias("comp"))
+        sizes = now.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster")
+        sizes = sizes.agg(F.count("*").alias("comps"), F.max_by("comp", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")).filter("comps > 1")
+        now, now_at = materialize(now.join(sizes, "cluster"), "apart")
+        if not now.limit(1).count():
+            release(spark, now_at)
             break
-        lone = now.filter("comp <> main").withColumn("step", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("size") - 1)))) if low == 1 else now.filter(f"comp <> main and size > {low}").withColumn("step", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("size") - 1))))
-        lone = lone.select("key", "rep", "comp", ((F.col("place") + F.col("step")) % F.col("size")).alias("place"))
-        other = now.select("key", "place", F.col("rep").alias("v"), F.col("comp").alias("theirs"))
-        tried = lone.join(other, ["key", "place"]).filter("comp <> theirs").select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")).distinct()
-        facts = tried.join(lines.select(F.col("rep").alias("u"), F.col("n_shingles").alias("n"), "sig"), "u").join(lines.select(F.col("rep").alias("v"), F.col("n_shingles").alias("m"), F.col("sig").alias("other")), "v")
-        may = map_batches(facts.select("u", "v", "n", "m", "sig", "other"), _may_link(p), f"u {kind}, v {kind}")
-        more, more_at = materialize(confirm(may), "links")
+        lone = F.col("comp") != F.col("main")
+        chance = F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 20)) / float(1 << 20)
+        if last:
+            held, seen = lone, F.lit(True)
+            blocks, streams = F.col("all") - F.col("inside"), F.col("all")
+        else:
+            held, seen = ~lone & (chance * F.col("inside") < pivots), lone
+            blocks, streams = F.least(F.col("inside"), F.lit(pivots)), F.col("all") - F.col("inside")
+        blocks, streams = F.ceil(blocks / p.block).cast("int"), F.ceil(streams / p.stream).cast("int")
+        own = now.join(sets, "id")
+        block, salt = (F.pmod(F.xxhash64("id", F.lit(k)), n).cast("int") for k, n in ((1, blocks), (2, streams)))
+        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        a = own.filter(held).select("cluster", block.alias("block"), each(streams).alias("salt"), F.lit(0).alias("side"), "id", "comp", "items")
+        b = own.filter(seen).select("cluster", each(blocks).alias("block"), salt.alias("salt"), F.lit(1).alias("side"), "id", "comp", "items")
+        both = a.union(b).repartition("cluster", "block", "salt").sortWithinPartitions("cluster", "block", "salt", "side")
+        more, more_at = materialize(map_batches(both, _block_links(p.percent), f"u {kind}, v {kind}"), "links")
         if more.limit(1).count():
             # links between components join their labels
             across = more.join(comps.select(F.col("id").alias("u"), F.col("comp").alias("cu")), "u", "left").join(comps.select(F.col("id").alias("v"), F.col("comp").alias("cv")), "v", "left")
@@ -261,10 +285,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
             comps, new_at = materialize(ends, "labels")
             release(spark, comps_at, joined_at)
             comps_at = new_at
-        release(spark, more_at)
-        low, high = high + 1, high * 8
+        release(spark, now_at, more_at)
 
-    release(spark, rest_at, links_at, sets_at)
+    release(spark, clusters_at, links_at, sets_at)
     of_class = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
     out = sig.select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
