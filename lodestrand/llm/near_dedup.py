@@ -175,12 +175,12 @@ def _block_links(percent: int):
     (cluster, block, salt) are held, those of side 1 stream past and are compared with all held at once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, index = None, [], None
+        key, held, index, joined = None, [], None, set()
         for batch in batches:
             u, v = [], []
             for k, side, name, comp, items in zip(zip(*(batch.column(c).to_pylist() for c in range(3))), *(batch.column(c).to_pylist() for c in range(3, 7))):
                 if k != key:
-                    key, held, index = k, [], None
+                    key, held, index, joined = k, [], None, set()
                 one = np.frombuffer(items, np.uint64)
                 if side == 0:
                     held.append((name, comp, one))
@@ -198,8 +198,10 @@ def _block_links(percent: int):
                 at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
                 both = np.bincount(owner[at], minlength=len(held))
                 for h in np.flatnonzero((100 * both >= percent * (sizes + len(one) - both)) & (comps != comp)):
-                    u.append(held[h][0])
-                    v.append(name)
+                    if (held[h][1], comp) not in joined:  # one link joins two components
+                        joined.add((held[h][1], comp))
+                        u.append(held[h][0])
+                        v.append(name)
             kind = batch.schema.field(4).type
             yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
 
