@@ -63,7 +63,7 @@ _SPEC = {
     "freshness_check": ("SELECT max(date) AS last_date, count(CASE WHEN date = last THEN 1 END) AS codes, count(CASE WHEN date = last THEN 1 END) >= 20 AS enough FROM (SELECT date, max(date) OVER () AS last FROM {p}) q", {"p": PANEL}),
     "panel_to_wide": ("SELECT date, " + ", ".join(f"max(CASE WHEN code = 'Brand#{a}{b}' THEN close END) AS b{a}{b}" for a in range(1, 6) for b in range(1, 6)) + " FROM {p} GROUP BY date", {"p": PANEL}),
     "adjusted_prices": ("SELECT p.date, p.code, round(p.close / coalesce(a.factor, 1.0e0), 6) AS close_adj FROM {p} p LEFT JOIN (SELECT code, 1 + (count(*) % 7) / 10.0e0 AS factor FROM {p} WHERE sector <> 'sector0' GROUP BY code) a ON p.code = a.code", {"p": PANEL}),
-    "asof_join": ("SELECT o_orderkey, snap FROM (SELECT o.o_orderkey, max(p.date) AS snap FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM {o} WHERE o_orderkey % 97 = 0) o JOIN (SELECT DISTINCT date FROM {p}) p ON p.date <= o.d AND p.date > o.d - INTERVAL 60 DAY GROUP BY o.o_orderkey) q", {"o": ORDERS, "p": PANEL}),
+    "asof_join": ("SELECT o.o_orderkey, a.snap FROM {o} o LEFT JOIN (SELECT d, max(snap) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS snap FROM (SELECT d, max(snap) AS snap FROM (SELECT date AS d, date AS snap FROM {p} UNION ALL SELECT CAST(o_orderdate AS DATE) AS d, CAST(NULL AS DATE) AS snap FROM {o}) q GROUP BY d) r WHERE d IS NOT NULL) a ON a.d = CAST(o.o_orderdate AS DATE)", {"o": ORDERS, "p": PANEL}),
     # signals and portfolios
     "alpha_score": ("SELECT date, code, round(score, 6) AS score FROM {s}", {"s": _SCORED}),
     "target_weights": ("SELECT date, code, round(least(1.0e0 / least(n, 8), 0.1e0), 6) AS weight FROM {r} WHERE top <= 8", {"r": _RANKS}),
