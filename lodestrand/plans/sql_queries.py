@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.plans.frames import BUCKET, FACTOR, IC, IC5, LONG, NAV, PANEL, RETURNS, SqlQuery, corr_of, frame, rank_of, source
+from lodestrand.plans.frames import BUCKET, FACTOR, IC, IC5, LONG, NAV, PANEL, RETURNS, SqlQuery, corr_of, frame, rank_of, source, with_p
 
 ORDERS, LINES, CUSTOMER, PART, SUPPLIER, EVENTS, DOCS = (source(n) for n in ("orders", "lineitem", "customer", "part", "supplier", "events", "documents"))
 
@@ -12,6 +12,7 @@ _BASKET = frame("SELECT f.date, d.day, f.code FROM (SELECT date, code, mom, rank
 _SCORED = frame("SELECT date, code, round((rm + rr + rl) / nullif(nm + nr + nl, 0), 8) AS score FROM (SELECT date, code, coalesce(a / nullif(ca, 0), 0) AS rm, coalesce(b / nullif(cb, 0), 0) AS rr, coalesce(c / nullif(cc, 0), 0) AS rl, CASE WHEN a IS NULL THEN 0 ELSE 1 END AS nm, CASE WHEN b IS NULL THEN 0 ELSE 1 END AS nr, CASE WHEN c IS NULL THEN 0 ELSE 1 END AS nl FROM (SELECT date, code, " + ", ".join(f"{rank_of(x, 'date')} AS {a}, count({x}) OVER (PARTITION BY date) AS c{a}" for x, a in (("mom", "a"), ("rev", "b"), ("liq", "c"))) + " FROM {f}) q) q2", f=FACTOR)
 _RANKS = frame("SELECT date, code, fwd, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS top, row_number() OVER (PARTITION BY date ORDER BY score, code DESC) AS bottom, count(*) OVER (PARTITION BY date) AS n FROM (SELECT s.date, s.code, s.score, f.fwd FROM {s} s JOIN {f} f ON s.date = f.date AND s.code = f.code WHERE s.score IS NOT NULL) q", s=_SCORED, f=FACTOR)
 _LS = frame("SELECT date, round(avg(CASE WHEN bucket = 5 THEN fwd END) - avg(CASE WHEN bucket = 1 THEN fwd END), 8) AS r FROM {b} GROUP BY date HAVING count(CASE WHEN bucket = 5 THEN 1 END) > 0 AND count(CASE WHEN bucket = 1 THEN 1 END) > 0", b=BUCKET)
+_TTEST = frame(with_p("SELECT factor, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) AS t FROM {i} GROUP BY factor"), i=IC5)
 _PEAK = frame("SELECT strategy, date, nav, max(nav) OVER (PARTITION BY strategy ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM {n}", n=NAV)
 _TRADES = frame("SELECT l_suppkey AS account, l_shipdate AS time, l_orderkey, l_linenumber, l_partkey AS code, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS qty, l_extendedprice AS notional FROM {l}", l=LINES)
 _VALUES = frame(" UNION ALL ".join(f"SELECT 'panel' AS family, '{f}' AS factor, code AS symbol, date AS trade_date, round({f} + {k} * 0.001e0, 6) AS value, '{t}' AS value_type, 'v{k}' AS version, {k} AS load_seq FROM {{f}} WHERE {f} IS NOT NULL" for f, t, k in (("mom", "truth", 0), ("mom", "submitted", 1), ("mom", "submitted", 2), ("rev", "reproduced", 1), ("liq", "research", 1))), f=FACTOR)
@@ -26,11 +27,11 @@ _SPEC = {
     "ic_yearly": ("SELECT factor, CAST(year(date) AS INT) AS year, count(*) AS n, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std FROM {i} GROUP BY factor, year(date)", {"i": IC5}),
     "ic_rank_table": ("SELECT factor, icir, CAST(row_number() OVER (ORDER BY abs(icir) DESC, factor) AS BIGINT) AS place FROM (SELECT factor, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir FROM {i} GROUP BY factor) q", {"i": IC5}),
     "ic_truth_match": ("SELECT a.factor, a.date, abs(a.ic - b.ic) AS gap, abs(a.ic - b.ic) < 1e-4 AS same FROM {i} a JOIN {j} b ON a.date = b.date AND a.factor = b.factor", {"i": IC5, "j": frame("SELECT date, factor, CASE WHEN dayofmonth(date) % 7 = 0 THEN ic + 0.01e0 ELSE ic END AS ic FROM {i}", i=IC5)}),
-    "ic_tstat": ("SELECT factor, round(t, 5) AS t_stat, abs(t) >= 1.65e0 AS telling FROM (SELECT factor, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) AS t FROM {i} GROUP BY factor) q", {"i": IC5}),
+    "ic_tstat": ("SELECT factor, round(t, 5) AS t_stat, round(p, 8) AS p_value, abs(t) >= 1.65e0 AS telling FROM {t}", {"t": _TTEST}),
     "ic_trend": ("SELECT factor, round(regr_slope(ic, day), 8) AS slope, round(regr_intercept(ic, day), 6) AS start, round(regr_r2(ic, day), 6) AS r2, round(avg(CASE WHEN day * 2 <= days THEN ic END), 6) AS first_half, round(avg(CASE WHEN day * 2 > days THEN ic END), 6) AS second_half FROM (SELECT factor, ic, CAST(row_number() OVER (PARTITION BY factor ORDER BY date) AS DOUBLE) AS day, count(*) OVER (PARTITION BY factor) AS days FROM {i}) q GROUP BY factor", {"i": IC5}),
     "ic_rolling": ("SELECT factor, date, round(ic60, 6) AS ic60 FROM (SELECT factor, date, avg(ic) OVER (PARTITION BY factor ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS ic60, row_number() OVER (PARTITION BY factor ORDER BY date) AS k FROM {i}) q WHERE k >= 60 AND (k - 60) % 20 = 0", {"i": IC5}),
     "oos_split": ("SELECT factor, split, count(*) AS n, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std FROM (SELECT factor, ic, CASE WHEN row_number() OVER (PARTITION BY factor ORDER BY date) <= floor(count(*) OVER (PARTITION BY factor) * 0.7e0) THEN 'in' ELSE 'out' END AS split FROM {i}) q GROUP BY factor, split", {"i": IC5}),
-    "fdr_bh": ("SELECT factor, round(least(1.0e0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value, round(least(1.0e0, p * m), 6) AS bonferroni FROM (SELECT factor, p, row_number() OVER (ORDER BY p, factor) AS k, count(*) OVER () AS m FROM (SELECT factor, round(1 / (1 + abs(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0))), 8) AS p FROM {i} GROUP BY factor) q) r", {"i": IC5}),
+    "fdr_bh": ("SELECT factor, round(p, 8) AS p_value, round(q, 6) AS q_value, round(least(1.0e0, p * m), 6) AS bonferroni, q < 0.05e0 AS significant FROM (SELECT factor, p, m, least(1.0e0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM (SELECT factor, p, row_number() OVER (ORDER BY p, factor) AS k, count(*) OVER () AS m FROM {t}) a) b", {"t": _TTEST}),
     "red_flags": ("SELECT factor, coverage < 0.3e0 AS low_coverage, days < 120 AS few_days, abs(ic_mean) < 0.01e0 AS weak_ic, abs(t) < 1.65e0 AS weak_t FROM (SELECT c.factor, c.coverage, count(*) AS days, avg(i.ic) AS ic_mean, avg(i.ic) / nullif(stddev_samp(i.ic) / sqrt(count(*)), 0) AS t FROM {c} c JOIN {i} i ON c.factor = i.factor GROUP BY c.factor, c.coverage) q", {"i": IC5, "c": frame("SELECT factor, count(value) * 1.0e0 / count(*) AS coverage FROM {l} GROUP BY factor", l=LONG)}),
     "validation_gates": ("SELECT factor, g1, g2, g3, g4, (g1 + g2 + g3 + g4) / 4.0e0 AS passed, (g1 + g2 + g3 + g4) >= 2 AS verdict FROM (SELECT factor, CASE WHEN abs(avg(ic)) >= 0.01e0 THEN 1 ELSE 0 END AS g1, CASE WHEN abs(avg(ic) / nullif(stddev_samp(ic), 0)) >= 0.1e0 THEN 1 ELSE 0 END AS g2, CASE WHEN count(*) >= 120 THEN 1 ELSE 0 END AS g3, CASE WHEN avg(CASE WHEN ic > 0 THEN 1.0e0 ELSE 0.0e0 END) >= 0.5e0 THEN 1 ELSE 0 END AS g4 FROM {i} GROUP BY factor) q", {"i": IC5}),
     # factors among each other

@@ -36,3 +36,45 @@ def test_asof_join_looks_back_any_time(spark):
     panel = spark.createDataFrame([(date(2020, 1, 6),), (date(2020, 1, 6),), (date(2020, 1, 13),)], "date date")
     got = {tuple(r) for r in on_rows(spark, "asof_join", o=orders, p=panel).collect()}
     assert got == {(1, None), (2, date(2020, 1, 6)), (3, date(2020, 1, 13)), (4, None)}
+
+
+def test_p_is_the_normal_tail(spark, duck):
+    from lodestrand.operators.inference import two_sided_p
+    from lodestrand.plans.frames import with_p
+
+    sql = with_p("SELECT CAST(k AS DOUBLE) / 8 AS t FROM (SELECT explode(sequence(-288, 288)) AS k) q")
+    for rows in (spark.sql(sql).select("t", "p").collect(), duck.sql(sql.replace("explode(sequence(-288, 288))", "unnest(range(-288, 289))")).select("t", "p").fetchall()):
+        assert len(rows) == 577
+        for t, p in rows:
+            assert p == pytest.approx(two_sided_p(t), rel=1e-10)
+    assert duck.sql(with_p("SELECT CAST(NULL AS DOUBLE) AS t")).select("p").fetchall() == [(1.0,)]
+
+
+def test_fdr_corrects_p_values_of_t(spark):
+    ts = {"a": 4.0, "b": -2.5, "c": 1.0, "d": None, "e": 2.2}
+    from lodestrand.operators.inference import two_sided_p
+    from lodestrand.plans.frames import with_p
+
+    values = ", ".join(f"('{f}', CAST({'NULL' if t is None else t} AS DOUBLE))" for f, t in ts.items())
+    got = {r["factor"]: r for r in on_rows(spark, "fdr_bh", t=spark.sql(with_p(f"SELECT factor, t FROM (VALUES {values}) v(factor, t)"))).collect()}
+    p = {f: 1.0 if t is None else two_sided_p(t) for f, t in ts.items()}
+    order = sorted(p.values())
+    for f, own in p.items():
+        q = min(min(1, x * len(p) / (k + 1)) for k, x in enumerate(order) if x >= own)
+        assert (got[f]["p_value"], got[f]["q_value"], got[f]["bonferroni"]) == pytest.approx((own, q, min(1, own * len(p))), abs=1e-6)
+        assert got[f]["significant"] == (q < 0.05)
+    assert got["a"]["significant"] and got["b"]["significant"] and not got["c"]["significant"]
+
+
+@pytest.mark.parametrize("name", ["fdr_bh", "ic_tstat"])
+def test_p_values_on_the_tables(spark, duck, data, name):
+    import numpy as np
+
+    from lodestrand.operators.inference import two_sided_p
+
+    ic = duck.sql(catalog.oracle_sql()["ic_daily"]).df()
+    ic = ic[ic.n >= 5].groupby("factor").ic
+    p = (ic.mean() / (ic.std() / np.sqrt(ic.count()))).map(two_sided_p)
+    for rows in both(spark, duck, data, name):
+        assert len(rows) == 4
+        assert rows.set_index("factor").p_value.to_dict() == pytest.approx(p.to_dict(), abs=1e-7)
