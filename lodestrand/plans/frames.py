@@ -90,6 +90,26 @@ IC = frame(
 )
 IC5 = frame("SELECT date, factor, ic, pearson, n FROM {i} WHERE n >= 5 AND ic IS NOT NULL", i=IC)
 
+#: Horizons of decay, in rows.
+HORIZONS = (1, 3, 5, 10, 20)
+_NAMES = ("mom", "rev", "liq", "rng")
+_AHEAD = {f: FACTORS[f] for f in _NAMES} | {f"r{h}": f"DELAY(close, -{h}) / close - 1" for h in HORIZONS}
+_LATER = frame(f"SELECT date, code, {', '.join(_NAMES)}, fwd AS r0, {', '.join(f'lead(fwd, {h}) OVER (PARTITION BY code ORDER BY date) AS r{h}' for h in HORIZONS)} FROM {{f}}", f=FACTOR)
+
+
+def decay(returns: Frame, horizons: tuple[int, ...]) -> Frame:
+    """Daily rank IC of each factor with each of the columns r and a horizon, (date, factor, h, ic, n), by the rules of IC5."""
+    value, ret = f"CASE factor {' '.join(f'WHEN {chr(39)}{f}{chr(39)} THEN {f}' for f in _NAMES)} END", f"CASE h {' '.join(f'WHEN {h} THEN r{h}' for h in horizons)} END"
+    factors, steps = ", ".join(f"('{f}')" for f in _NAMES), ", ".join(f"({h})" for h in horizons)
+    pairs = frame(f"SELECT date, factor, h, {value} AS value, {ret} AS fwd FROM {{r}} CROSS JOIN (VALUES {factors}) a(factor) CROSS JOIN (VALUES {steps}) b(h)", r=returns)
+    ranked = frame(f"SELECT date, factor, h, {rank_of('value', 'date, factor, h')} AS rv, {rank_of('fwd', 'date, factor, h')} AS rf FROM {{p}} WHERE value IS NOT NULL AND fwd IS NOT NULL", p=pairs)
+    return frame(f"SELECT date, factor, h, ic, n FROM (SELECT date, factor, h, round({corr_of('rv', 'rf')}, 6) AS ic, count(*) AS n FROM {{r}} GROUP BY date, factor, h) q WHERE n >= 5 AND ic IS NOT NULL", r=ranked)
+
+
+#: With the return over the next h rows, and with the one-row return that begins h rows later.
+DECAY = decay(Frame(lambda s, d: compute(brand_week(s, d), _AHEAD, 6), to_sql(BRAND_WEEK_SQL, _AHEAD)), HORIZONS)
+DECAY_LATER = decay(_LATER, (0, *HORIZONS))
+
 #: Buckets of the factor mom, five a date, from ranks that ties never share.
 BUCKET = frame(
     "SELECT date, code, mom, fwd, CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, ceil((r - 1) * 5.0e0 / (n - 1))) END AS INT) AS bucket FROM (SELECT date, code, mom, fwd, row_number() OVER (PARTITION BY date ORDER BY mom, code) AS r, count(*) OVER (PARTITION BY date) AS n FROM {f} WHERE mom IS NOT NULL AND fwd IS NOT NULL) q",

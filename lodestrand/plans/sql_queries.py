@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.plans.frames import BUCKET, FACTOR, IC, IC5, LONG, NAV, PANEL, RETURNS, SqlQuery, corr_of, frame, rank_of, source, with_p
+from lodestrand.plans.frames import BUCKET, DECAY, DECAY_LATER, FACTOR, IC, IC5, LONG, NAV, PANEL, RETURNS, SqlQuery, corr_of, frame, rank_of, source, with_p
 
 ORDERS, LINES, CUSTOMER, PART, SUPPLIER, EVENTS, DOCS = (source(n) for n in ("orders", "lineitem", "customer", "part", "supplier", "events", "documents"))
 
@@ -120,8 +120,8 @@ _SPEC = {
     "doc_completion": ("SELECT doc_id, greatest(10, least(98, 60 + CASE WHEN length(text) >= 50000 THEN 18 WHEN length(text) >= 25000 THEN 12 WHEN length(text) >= 8000 THEN 6 ELSE 0 END - CASE WHEN length(text) < 200 THEN 4 ELSE 0 END)) AS score FROM {d}", {"d": DOCS}),
     "doc_evaluation": ("SELECT doc_id, CAST(length(text) - length(replace(text, '.', '')) AS BIGINT) AS stops, CAST(length(text) - length(replace(text, '|', '')) AS BIGINT) AS bars, CASE WHEN length(text) > 2000 THEN 5 WHEN length(text) > 500 THEN 3 ELSE 1 END AS completeness FROM {d}", {"d": DOCS}),
     # more of evaluation and screens
-    "ic_decay": ("SELECT horizon, count(*) AS n, round(avg(c), 6) AS ic_mean, round(avg(c) / nullif(stddev_samp(c), 0), 6) AS icir FROM (SELECT date, 1 AS horizon, " + corr_of("mom", "fwd") + " AS c FROM {f} GROUP BY date HAVING count(CASE WHEN mom IS NOT NULL AND fwd IS NOT NULL THEN 1 END) >= 5 UNION ALL SELECT date, 4 AS horizon, " + corr_of("mom", "fwd4") + " AS c FROM {f} GROUP BY date HAVING count(CASE WHEN mom IS NOT NULL AND fwd4 IS NOT NULL THEN 1 END) >= 5) q WHERE c IS NOT NULL GROUP BY horizon", {"f": FACTOR}),
-    "ic_decay_later": ("SELECT lag, count(*) AS n, round(avg(c), 6) AS ic_mean FROM (SELECT date, 1 AS lag, " + corr_of("mom", "f1") + " AS c FROM {g} GROUP BY date UNION ALL SELECT date, 3 AS lag, " + corr_of("mom", "f3") + " AS c FROM {g} GROUP BY date UNION ALL SELECT date, 5 AS lag, " + corr_of("mom", "f5") + " AS c FROM {g} GROUP BY date) q WHERE c IS NOT NULL GROUP BY lag", {"g": frame("SELECT date, code, mom, fwd AS f1, lead(fwd, 2) OVER (PARTITION BY code ORDER BY date) AS f3, lead(fwd, 4) OVER (PARTITION BY code ORDER BY date) AS f5 FROM {f}", f=FACTOR)}),
+    "ic_decay": ("SELECT factor, h AS horizon, count(*) AS n, round(avg(ic), 6) AS ic_mean, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS positive_ratio FROM {i} GROUP BY factor, h", {"i": DECAY}),
+    "ic_decay_later": ("SELECT factor, h AS lag, count(*) AS n, round(avg(ic), 6) AS ic_mean, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS positive_ratio FROM {i} GROUP BY factor, h", {"i": DECAY_LATER}),
     "redundant_factors": ("SELECT a, b, round(c, 6) AS corr, abs(c) >= 0.85e0 AS redundant FROM (SELECT x.factor AS a, y.factor AS b, " + corr_of("x.value", "y.value") + " AS c FROM {l} x JOIN {l} y ON x.date = y.date AND x.code = y.code AND x.factor < y.factor GROUP BY x.factor, y.factor) q", {"l": LONG}),
     "similar_factors_topk": ("SELECT factor, other, corr FROM (SELECT factor, other, corr, row_number() OVER (PARTITION BY factor ORDER BY abs(corr) DESC, other) AS k FROM (SELECT x.factor AS factor, y.factor AS other, round(" + corr_of("x.value", "y.value") + ", 6) AS corr FROM {l} x JOIN {l} y ON x.date = y.date AND x.code = y.code AND x.factor <> y.factor GROUP BY x.factor, y.factor) q) r WHERE k <= 2", {"l": LONG}),
     "long_short_daily": ("SELECT date, round(avg(CASE WHEN pr >= 0.8e0 THEN fwd END), 6) AS long_leg, round(avg(CASE WHEN pr <= 0.2e0 THEN fwd END), 6) AS short_leg, count(*) AS n FROM (SELECT date, fwd, r / n AS pr FROM (SELECT date, fwd, " + rank_of("mom", "date") + " AS r, count(mom) OVER (PARTITION BY date) AS n FROM {f} WHERE mom IS NOT NULL AND fwd IS NOT NULL) a) b GROUP BY date HAVING count(*) >= 5", {"f": FACTOR}),

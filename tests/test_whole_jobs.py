@@ -78,3 +78,34 @@ def test_p_values_on_the_tables(spark, duck, data, name):
     for rows in both(spark, duck, data, name):
         assert len(rows) == 4
         assert rows.set_index("factor").p_value.to_dict() == pytest.approx(p.to_dict(), abs=1e-7)
+
+
+@pytest.mark.parametrize("name, step", [("ic_decay", "horizon"), ("ic_decay_later", "lag")])
+def test_decay_of_rank_ic_over_all_horizons(spark, duck, data, name, step):
+    import numpy as np
+    import pandas as pd
+
+    panel = duck.sql(catalog.oracle_sql()["panel_load"]).df().sort_values(["code", "date"])
+    by = panel.groupby("code")
+    values = pd.DataFrame({
+        "mom": panel.close / by.close.shift(4) - 1, "rev": -(panel.close / by.close.shift(1) - 1),
+        "liq": panel.volume / by.volume.transform(lambda v: v.rolling(4).mean()) - 1, "rng": ((panel.high - panel.low) / panel.close).groupby(panel.code).transform(lambda v: v.rolling(4).mean()),
+    }).round(6)
+    one = (by.close.shift(-1) / panel.close - 1).round(6)
+    ahead = {h: (by.close.shift(-h) / panel.close - 1).round(6) for h in (1, 3, 5, 10, 20)}
+    later = {h: one.groupby(panel.code).shift(-h) for h in (0, 1, 3, 5, 10, 20)}
+    want = {}
+    for h, ret in (ahead if step == "horizon" else later).items():
+        for f in values:
+            ics = []
+            for _, g in pd.DataFrame({"date": panel.date, "x": values[f], "y": ret}).dropna().groupby("date"):
+                a, b = g.x.rank(), g.y.rank()
+                if len(g) >= 5 and a.std() > 0 and b.std() > 0:
+                    ics.append(np.corrcoef(a, b)[0, 1])
+            x = np.array(ics)
+            want[f, h] = (len(x), x.mean(), x.mean() / x.std(ddof=1), (x > 0).mean())
+    for rows in both(spark, duck, data, name):
+        got = {(r.factor, getattr(r, step)): (r.n, r.ic_mean, r.icir, r.positive_ratio) for r in rows.itertuples()}
+        assert set(got) == set(want)
+        for k, w in want.items():
+            assert got[k] == pytest.approx(w, abs=2e-4), k
