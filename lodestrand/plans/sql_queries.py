@@ -114,7 +114,7 @@ _SPEC = {
     "classify_sector": ("SELECT p_partkey, CASE WHEN p_type LIKE '%BRASS%' OR p_type LIKE '%COPPER%' THEN 'metal' WHEN p_type LIKE '%TIN%' THEN 'tin' WHEN p_size > 40 THEN 'large' ELSE concat('Other:', p_brand) END AS sector FROM {p}", {"p": PART}),
     "traffic_daily": ("SELECT day, count(*) AS views, count(DISTINCT user_id) AS visitors, count(DISTINCT CASE WHEN user_id % 3 = 0 THEN user_id END) AS signed_in FROM (SELECT CAST(ts AS DATE) AS day, user_id FROM {e}) q GROUP BY day", {"e": EVENTS}),
     "traffic_top_paths": ("SELECT day, event_type, n FROM (SELECT day, event_type, n, row_number() OVER (PARTITION BY day ORDER BY n DESC, event_type) AS k FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM {e} GROUP BY CAST(ts AS DATE), event_type) q) r WHERE k <= 5", {"e": EVENTS}),
-    "event_bars": ("SELECT event_type, bar, count(*) AS n, min_by(value, ts) AS open, max(value) AS high, min(value) AS low, max_by(value, ts) AS close FROM (SELECT event_type, date_trunc('day', ts) AS bar, ts, value FROM {e} WHERE event_id % 1 = 0) q GROUP BY event_type, bar HAVING count(*) = count(DISTINCT ts)", {"e": EVENTS}),
+    "event_bars": ("SELECT event_type, bar, count(*) AS n, min_by(value, place) AS open, max(value) AS high, min(value) AS low, max_by(value, place) AS close FROM (SELECT event_type, date_trunc('day', ts) AS bar, value, CASE WHEN value IS NOT NULL THEN (ts, event_id, value) END AS place FROM {e}) q GROUP BY event_type, bar", {"e": EVENTS}),
     # documents
     "doc_route_hints": ("SELECT doc_id, CASE WHEN lower(text) LIKE '%abstract%' OR lower(text) LIKE '%doi%' THEN 'paper' WHEN lower(text) LIKE '%license%' OR lower(text) LIKE '%copyright%' THEN 'legal' ELSE 'general' END AS hint FROM {d}", {"d": DOCS}),
     "doc_completion": ("SELECT doc_id, greatest(10, least(98, 60 + CASE WHEN length(text) >= 50000 THEN 18 WHEN length(text) >= 25000 THEN 12 WHEN length(text) >= 8000 THEN 6 ELSE 0 END - CASE WHEN length(text) < 200 THEN 4 ELSE 0 END)) AS score FROM {d}", {"d": DOCS}),

@@ -109,3 +109,14 @@ def test_decay_of_rank_ic_over_all_horizons(spark, duck, data, name, step):
         assert set(got) == set(want)
         for k, w in want.items():
             assert got[k] == pytest.approx(w, abs=2e-4), k
+
+
+def test_event_bars_keep_bars_with_ties(spark, duck):
+    at = datetime(2024, 1, 1, 10)
+    events = [(3, at, "a", 5.0), (1, at, "a", 7.0), (2, at.replace(hour=11), "a", 1.0), (5, at.replace(hour=11), "a", 9.0), (5, at.replace(hour=11), "a", 8.0), (9, at.replace(hour=12), "a", None), (4, at, "b", 2.0), (4, at, "b", 2.0)]
+    df = spark.createDataFrame(events, "event_id long, ts timestamp, event_type string, value double")
+    want = [("a", 6, 7.0, 9.0, 1.0, 9.0), ("b", 2, 2.0, 2.0, 2.0, 2.0)]
+    assert sorted(tuple(r) for r in on_rows(spark, "event_bars", e=df).drop("bar").collect()) == want
+    rows = ", ".join(f"({k}, TIMESTAMP '{ts}', '{t}', CAST({'NULL' if v is None else v} AS DOUBLE))" for k, ts, t, v in events)
+    sql = QUERIES["event_bars"].text.format(e=f"(SELECT * FROM (VALUES {rows}) v(event_id, ts, event_type, value))")
+    assert sorted((r[0], *r[2:]) for r in duck.sql(sql).fetchall()) == want
