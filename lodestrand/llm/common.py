@@ -20,13 +20,15 @@ _written: set[tuple[int, str]] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A cluster names it in
-    ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made."""
+    """The folder that all executors share. A cluster names it in ``spark.checkpoint.dir``. Where that
+    is unset, a session on one machine (tests) gets a folder of that machine, any other an error."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         name = tempfile.mkdtemp(prefix="lodestrand-")
         spark.sparkContext.setCheckpointDir(name)
     return name
@@ -44,14 +46,21 @@ def _remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def place_for(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is there is deleted by :func:`release`, at the end of the
+    :func:`scratch` around, or when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lodestrand-{name}-{uuid.uuid4().hex}"
+    _written.add((id(spark), path))
+    _sessions[id(spark)] = spark
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back. This cuts the lineage: a lost
     executor costs the tasks that ran on it, not the steps before. Gives the table and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lodestrand-{name}-{uuid.uuid4().hex}"
+    path = place_for(spark, name)
     df.write.parquet(path)
-    _written.add((id(spark), path))
-    _sessions[id(spark)] = spark
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -65,6 +74,14 @@ def release(spark: SparkSession, *paths: str) -> None:
 _sessions: dict[int, SparkSession] = {}
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Deletes, at its end, the tables written inside of it, but for those whose paths were put into the set it gives."""
+    before, kept = set(_written), set()
+    yield kept
+    release(spark, *(path for key, path in _written - before if key == id(spark) and path not in kept))
+
+
 @atexit.register
 def _release_all() -> None:
     for key, path in list(_written):

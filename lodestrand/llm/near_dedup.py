@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import map_batches, materialize, release, texts_of
@@ -32,7 +32,9 @@ class Params:
     rows: int = 3  #: R, minimum hashes in a sketch
     pivots: int = 128  #: members of a cluster's largest component that the others are tried against first
     block: int = 200  #: sets that a task holds while others stream past
-    stream: int = 4000  #: sets that stream past in one task
+    stream: int = 1000  #: sets that stream past in one task
+    whole: int = 8  #: a cluster of more blocks than that is compared by its buckets, if that is cheaper
+    salts: int = 32  #: parts into which a group is dealt when its sizes are joined
     seed: int = 7
 
 
@@ -171,8 +173,8 @@ def _confirm(percent: int):
 
 
 def _block_links(percent: int):
-    """Batches of (cluster, block, salt, side, id, comp, items), sorted, to links (u, v). The rows of side 0 of a
-    (cluster, block, salt) are held, those of side 1 stream past and are compared with all held at once."""
+    """Batches of (group, block, salt, side, id, comp, items), sorted, to links (u, v). The rows of side 0 of a
+    (group, block, salt) are held, those of side 1 stream past and are compared with all held at once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, index, joined = None, [], None, set()
@@ -208,15 +210,70 @@ def _block_links(percent: int):
     return run
 
 
+def _apart(members: DataFrame, comps: DataFrame, p: Params) -> DataFrame:
+    """(group, id, comp, main, inside, all) of the members of all groups that have more than one component: the
+    largest component and its size, and the size of the group. The join of sizes is dealt by salted groups."""
+    now = members.join(comps, "id", "left").select("group", "id", F.coalesce("comp", "id").alias("comp"))
+    sizes = now.groupBy("group", "comp").agg(F.count("*").alias("n")).groupBy("group")
+    sizes = sizes.agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")).filter("comps > 1").drop("comps")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    return now.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(p.salts)).cast("int")).join(sizes, ["group", "salt"]).drop("salt")
+
+
+def _rows(p: Params) -> Column:
+    """Sets that the exhaustive comparison of a group streams past its blocks."""
+    return F.ceil((F.col("all") - F.col("inside")) / p.block) * F.col("all")
+
+
+def _cheaper(now: DataFrame, loose: DataFrame, tables: DataFrame, comps: DataFrame, p: Params) -> DataFrame:
+    """``now`` with each loose cluster replaced by its buckets, where comparing in these streams fewer
+    sets; a cluster whose buckets hold nothing apart is done. Both ways meet every pair that shares a key and is
+    held apart, so no link is lost. Equal buckets count once."""
+    inside = loose.select(F.col("group").alias("cluster"), F.col("id").alias("rep"))
+    buckets = tables.join(inside, "rep").select(F.xxhash64(F.lit("bucket"), "key").alias("group"), F.col("rep").alias("id"), "cluster")
+    own = _apart(buckets.select("group", "id"), comps, p)
+    # a bucket lies within one cluster, so any member tells it
+    alike = own.join(inside.withColumnRenamed("rep", "id"), "id").groupBy("group").agg(
+        F.min("cluster").alias("cluster"), F.first("all").alias("all"), F.first("inside").alias("inside"), F.min("id").alias("low"), F.max("id").alias("high"),
+        F.sum(F.xxhash64("id", F.lit(5)) % 1_000_003).alias("mark"), F.sum(F.xxhash64("id", F.lit(6)) % 1_000_033).alias("other"),
+    )
+    once = alike.groupBy("cluster", "all", "low", "high", "mark", "other").agg(F.min("group").alias("group"), F.first("inside").alias("inside"))
+    whole = loose.select(F.col("group").alias("cluster"), _rows(p).alias("whole")).distinct()
+    better = whole.join(once.groupBy("cluster").agg(F.sum(_rows(p)).alias("rows")), "cluster", "left").filter("coalesce(rows, 0) < whole").select("cluster")
+    chosen = once.join(better, "cluster", "left_semi").select("group")
+    return now.join(better.withColumnRenamed("cluster", "group"), "group", "left_anti").unionByName(own.join(chosen, "group", "left_semi"))
+
+
+def _blocks(now: DataFrame, sets: DataFrame, last: bool, p: Params) -> DataFrame:
+    """The rows that :func:`_block_links` reads, dealt and sorted. First some pivots of each group's largest component
+    are held and all others stream past; at last all outside that component are held and the whole group streams past."""
+    lone = F.col("comp") != F.col("main")
+    chance = F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 20)) / float(1 << 20)
+    if last:
+        held, seen = lone, F.lit(True)
+        blocks, streams = F.col("all") - F.col("inside"), F.col("all")
+    else:
+        held, seen = ~lone & (chance * F.col("inside") < p.pivots), lone
+        blocks, streams = F.least(F.col("inside"), F.lit(p.pivots)), F.col("all") - F.col("inside")
+    blocks, streams = F.ceil(blocks / p.block).cast("int"), F.ceil(streams / p.stream).cast("int")
+    own = now.join(sets, "id")
+    block, salt = (F.pmod(F.xxhash64("id", F.lit(k)), n).cast("int") for k, n in ((1, blocks), (2, streams)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = own.filter(held).select("group", block.alias("block"), each(streams).alias("salt"), F.lit(0).alias("side"), "id", "comp", "items")
+    b = own.filter(seen).select("group", each(blocks).alias("block"), salt.alias("salt"), F.lit(1).alias("side"), "id", "comp", "items")
+    return a.union(b).repartition("group", "block", "salt").sortWithinPartitions("group", "block", "salt", "side")
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Rows are first put into classes of equal shingle sets, so copies never meet in pairs. Class
     representatives get table keys; sketches that nobody shares are dropped before the pairs of
-    sketches are formed. In each bucket all members are checked against one centre, so a bucket of
-    n makes n pairs. Buckets that share members form clusters, and what a cluster then still holds apart is
-    compared exactly: members outside its largest component first with some pivots of that
-    component, then those still apart with all members. Such comparisons hold a block of sets in a task
+    sketches are formed. Each document is checked against the smallest centre of its buckets, and that
+    against the other centres, so a document makes one row whatever the size of its group. Buckets that
+    share members form clusters, and what a cluster then still holds apart is compared exactly: members
+    outside its largest component first with some pivots of that component, then those still apart with all
+    members, or, if a loose cluster has smaller buckets, with all members of their buckets. Such comparisons hold a block of sets in a task
     while a bounded number of others stream past; they make rows for links only, not for pairs.
 
     Null or empty texts, and texts without words, have an empty set: n_shingles 0, linked with
@@ -238,7 +295,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     tables, tables_at = materialize(pairs.select(F.xxhash64("first", "second").alias("key"), "rep"), "tables")
 
     centres = tables.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
-    star, star_at = materialize(tables.join(centres, "key").filter("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), "star")
+    # one link to the smallest centre of a document, and one from that to each other centre of it: the buckets hang together as before
+    hubs = tables.join(centres, "key").groupBy("rep").agg(F.min("centre").alias("u"), F.collect_set("centre").alias("others"))
+    hubs, hubs_at = materialize(hubs, "hubs")
+    star = hubs.select("u", F.col("rep").alias("v")).union(hubs.select("u", F.explode("others").alias("v")).distinct())
+    star, star_at = materialize(star.filter("u <> v").distinct(), "star")
+    release(spark, hubs_at)
     wanted = star.select(F.col("u").alias("id")).union(star.select(F.col("v").alias("id"))).distinct()
     # one plan at every size: the hint keeps a small set of ids from being broadcast
     chosen = texts.filter("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
@@ -250,34 +312,22 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
 
     links, links_at = materialize(confirm(star), "links")
     comps, comps_at = connected_components(links)
-
     clusters, clusters_at = connected_components(star)
-    clusters = clusters.withColumnRenamed("comp", "cluster")
-    release(spark, tables_at, star_at)
-    for pivots, last in ((p.pivots, False), (0, True)):
-        now = clusters.join(comps, "id", "left").select("cluster", "id", F.coalesce("comp", "id").alias("comp"))
-        sizes = now.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster")
-        sizes = sizes.agg(F.count("*").alias("comps"), F.max_by("comp", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")).filter("comps > 1")
-        now, now_at = materialize(now.join(sizes, "cluster"), "apart")
+    release(spark, links_at, star_at)
+    members = clusters.select(F.xxhash64(F.lit("cluster"), "comp").alias("group"), "id")
+
+    for last in (False, True):
+        now, now_at = materialize(_apart(members, comps, p), "apart")
         if not now.limit(1).count():
             release(spark, now_at)
             break
-        lone = F.col("comp") != F.col("main")
-        chance = F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 20)) / float(1 << 20)
         if last:
-            held, seen = lone, F.lit(True)
-            blocks, streams = F.col("all") - F.col("inside"), F.col("all")
-        else:
-            held, seen = ~lone & (chance * F.col("inside") < pivots), lone
-            blocks, streams = F.least(F.col("inside"), F.lit(pivots)), F.col("all") - F.col("inside")
-        blocks, streams = F.ceil(blocks / p.block).cast("int"), F.ceil(streams / p.stream).cast("int")
-        own = now.join(sets, "id")
-        block, salt = (F.pmod(F.xxhash64("id", F.lit(k)), n).cast("int") for k, n in ((1, blocks), (2, streams)))
-        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        a = own.filter(held).select("cluster", block.alias("block"), each(streams).alias("salt"), F.lit(0).alias("side"), "id", "comp", "items")
-        b = own.filter(seen).select("cluster", each(blocks).alias("block"), salt.alias("salt"), F.lit(1).alias("side"), "id", "comp", "items")
-        both = a.union(b).repartition("cluster", "block", "salt").sortWithinPartitions("cluster", "block", "salt", "side")
-        more, more_at = materialize(map_batches(both, _block_links(p.percent), f"u {kind}, v {kind}"), "links")
+            loose = now.filter(F.col("all") - F.col("inside") > p.whole * p.block)
+            if loose.limit(1).count():
+                now, was = _cheaper(now, loose, tables, comps, p), now_at
+                now, now_at = materialize(now, "apart")
+                release(spark, was)
+        more, more_at = materialize(map_batches(_blocks(now, sets, last, p), _block_links(p.percent), f"u {kind}, v {kind}"), "links")
         if more.limit(1).count():
             # links between components join their labels
             across = more.join(comps.select(F.col("id").alias("u"), F.col("comp").alias("cu")), "u", "left").join(comps.select(F.col("id").alias("v"), F.col("comp").alias("cv")), "v", "left")
@@ -289,7 +339,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
             comps_at = new_at
         release(spark, now_at, more_at)
 
-    release(spark, clusters_at, links_at, sets_at)
+    release(spark, clusters_at, tables_at, sets_at)
     of_class = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
     out = sig.select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import decontaminate, fingerprints, near_dedup, packing, page_text, pii, quality, token_counts, token_files, toxicity
-from lodestrand.llm.common import documents, labels, shared_dir
+from lodestrand.llm.common import documents, labels, place_for
 
 
 def vocabulary(name: str) -> str:
@@ -55,7 +54,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    path = place_for(spark, "token-files")
     token_files.write(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), end_id=1)
     return token_files.read(spark, path)
 
