@@ -1,11 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share the frequent words of ordinary texts. The toxic one then ends in
-the fragments of words that training finds in toxic texts far more often than in ordinary ones,
-the ordinary one in as many more ordinary words. A window is a word between blanks; the bytes that
-it takes less with the toxic dictionary than with the ordinary one are its distance. Windows are written
-as the beginnings of a word, each longer by a character, from four characters on, as three hashed bytes each: a match of
+Two zstandard dictionaries share what zstandard's trainer takes from ordinary texts. The toxic one then ends in
+the word beginnings that toxic texts have far more often than ordinary ones, the ordinary one in as many bytes
+trained on further ordinary texts. A window is a word between blanks; the bytes that it takes less with
+the toxic dictionary than with the ordinary one are its distance. Windows are written as the beginnings of
+a word, each longer by a character, from four characters on, as three hashed bytes each: a match of
 a few single bytes would save zstandard nothing, and what a word only has inside is none. A calibrated logistic model turns the windows of a text into a score.
+
+The end of the toxic dictionary is chosen by a likelihood ratio and not by zstandard's trainer, which looks for what is
+frequent and not for what tells two kinds of text apart; the README has the figures of both.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from lodestrand.llm.quality import labelled
 MAX_ROWS = 6000
 #: Characters of the shortest beginning, bytes of its code, and how many windows a worker remembers.
 GROUP, CODE, WINDOW_CACHE = 4, 3, 400_000
-#: Ordinary words in both dictionaries, and those that only fill up the ordinary one.
-SHARED_WORDS, FILL_WORDS = 1200, 400
-#: The likelihood ratio statistic that a fragment needs, and the most fragments.
-EVIDENCE, MOST_FRAGMENTS = 24.0, 200
+#: Bytes trained on ordinary texts that both dictionaries have, and the most bytes of word beginnings: zstandard's usual dictionary in all.
+SHARED_BYTES, CHOSEN_BYTES = 12_000, 64_000
+#: The likelihood ratio statistic that a word beginning needs.
+EVIDENCE = 24.0
+#: Characters of the longest beginning that counts in training, with the blank; longer words count by it.
+LONGEST = 64
 #: Distances from which a window counts as toxic, and as strongly so.
 STEPS = (3, 6)
 #: Bytes that begin every window and end every dictionary, so that each window has one match at least.
@@ -63,7 +68,7 @@ class Distance:
 
         def compressor(content: bytes):
             content += FRAME
-            how = z.ZstdCompressionParameters.from_level(3, source_size=64, dict_size=len(content), format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False)
+            how = z.ZstdCompressionParameters.from_level(6, source_size=64, dict_size=len(content), format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False)
             known = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(compression_params=how)
             return z.ZstdCompressor(dict_data=known, compression_params=how).compress
@@ -85,16 +90,16 @@ class Distance:
         if not len(d):
             return [0.0] * 6
         some, many = ((d >= s).sum() for s in STEPS)
-        return [math.log1p(1000 * some / len(d)), math.log1p(1000 * many / len(d)), math.log1p(some), math.log1p(many), float(min(int(d.max()), 24)), math.log1p(len(d))]
+        return [math.log1p(1000 * some / len(d)), math.log1p(1000 * many / len(d)), math.log1p(some), math.log1p(many), math.log1p(max(0, int(d.max()))), math.log1p(len(d))]
 
 
 def _fragments(text: str) -> set[str]:
-    """Beginnings of a text's words of three to ten letters, with the blank before, and whole words between blanks."""
+    """Beginnings of a text's words of three letters or more, with the blank before, and whole words between blanks."""
     out = set()
     for w in set(windows(text)):
         b = f" {w}"
         out.add(f"{b} ")
-        out.update(b[:k] for k in range(4, min(len(b), 12)))
+        out.update(b[:k] for k in range(4, min(len(b), LONGEST)))
     return out
 
 
@@ -134,26 +139,39 @@ def fragments(texts: list[str], toxic: list[bool]) -> list[str]:
                     total += c * math.log(c / size / q)
         return 2 * total
 
-    marks = {f: evidence(f) for f in have}
-    chosen: list[str] = []
+    marks = {f: mark for f in have if (mark := evidence(f)) >= EVIDENCE}
+    chosen: set[str] = set()
+    reach: set[str] = set()  # beginnings of those chosen
+    size = 0
     for f in sorted(marks, key=lambda f: (-round(marks[f], 6), -len(f), f)):
-        if marks[f] < EVIDENCE or len(chosen) == MOST_FRAGMENTS:
+        own = {f[:k] for k in range(4, len(f))}
+        if own & chosen or f in reach and all(marks[f] <= 1.05 * marks[g] for g in chosen if g.startswith(f)):
+            continue
+        size += len(code(f))
+        if size > CHOSEN_BYTES:
             break
-        if not any(f.startswith(g) or g.startswith(f) and marks[f] <= 1.05 * marks[g] for g in chosen):
-            chosen.append(f)
-    return chosen
+        chosen.add(f)
+        reach |= own
+    return sorted(chosen, key=lambda f: (-round(marks[f], 6), -len(f), f))
+
+
+def _trained(texts: list[str], size: int) -> bytes:
+    """What zstandard's trainer takes from texts, or, where there is too little for it, their last bytes."""
+    import zstandard as z
+
+    coded = [c for t in texts if (c := b"".join(code(f" {w} ") for w in sorted(set(windows(t)))))]
+    if sum(map(len, coded)) < 16 * size or len(coded) < 16:
+        return b"".join(coded)[-size:] if size else b""
+    return z.train_dictionary(size, coded, k=48, d=6).as_bytes()
 
 
 def dictionaries(texts: list[str], toxic: list[bool]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionary contents; the most telling parts last, where zstandard finds them at the least cost."""
-    counts: Counter[str] = Counter()
-    for t, bad in zip(texts, toxic):
-        if not bad:
-            counts.update(set(windows(t)))
-    words = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SHARED_WORDS + FILL_WORDS]]
-    base = b"".join(code(f" {w} ") for w in reversed(words[:SHARED_WORDS]))
+    ordinary = [t for t, bad in zip(texts, toxic) if not bad]
+    base, fill = _trained(ordinary[::2], SHARED_BYTES), b""
     tail = b"".join(code(f) for f in reversed(fragments(texts, toxic)))
-    fill = b"".join(code(f" {w} ") for w in reversed(words[SHARED_WORDS:]))[: len(tail)]
+    if tail:
+        fill = _trained(ordinary[1::2], max(256, len(tail)))[-len(tail) :]
     return base + tail, fill + base
 
 
