@@ -22,9 +22,10 @@ from pyspark.sql.window import Window
 from lodestrand.llm.common import texts_of
 
 LEAF_WORDS, SHORT_LINE = 4, 100
-#: Rows that follow each other in one task, and the most such runs, which bounds what is broadcast.
-RUN_ROWS, MOST_RUNS = 1000, 65_536
-_COARSE = 64
+#: Runs of neighbouring rows for each shuffle partition, and sampled rows for each run.
+RUNS_EACH, SAMPLED_EACH = 4, 40
+#: Values of the hash by which rows with one id are ordered before their texts are.
+_MARKS = 1 << 20
 
 _LEAF, _WORD = rf"\s*(?:\S+\s*){{1,{LEAF_WORDS}}}|\s+", r"\s*\S+\s*|\s+"
 
@@ -73,55 +74,80 @@ def changed_sections(a: Column, b: Column) -> Column:
     return F.filter(places, lambda k: ~F.get(x, k).eqNullSafe(F.get(y, k)))
 
 
-def _runs(ids: DataFrame):
-    """A column that numbers runs of about RUN_ROWS rows by ascending id, and each run's smallest id
-    with the run before it. Quantiles cut the ids coarsely, equal steps between two of them finely."""
-    chances = [k / _COARSE for k in range(_COARSE + 1)]
-    n, cuts = ids.agg(F.count("*"), F.percentile_approx("doc_id", chances, 10_000)).first()
+def _cuts(keys: DataFrame, runs: int) -> list[tuple[int | None, int]]:
+    """Ascending (doc_id, mark) that cut all rows into about ``runs`` runs of nearly equal size, from a
+    sample of a bounded number of rows. Ids may be bunched, null or repeated: the marks cut them as well."""
+    n = keys.count()
+    if not n:
+        return []
+    wanted = runs * SAMPLED_EACH
+    rows = keys.sample(fraction=min(1.0, 1.2 * wanted / n), seed=11).limit(2 * wanted).collect()
+    every = sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    return list(dict.fromkeys(every[k * len(every) // runs] for k in range(1, runs) if every))
+
+
+def _run_of(cuts: list[tuple[int | None, int]]) -> Column:
+    """How many cuts lie at or before a row: first among some cuts far apart, then among those between two of them."""
     if not cuts:
-        return F.lit(0), []
-    cuts = sorted(set(cuts))
-    fine = max(1, min(MOST_RUNS // _COARSE, math.ceil(n / (RUN_ROWS * max(1, len(cuts) - 1)))))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    coarse = F.greatest(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))) - 1, F.lit(0))
-    low, high = F.get(bounds, coarse), F.coalesce(F.get(bounds, coarse + 1), F.element_at(bounds, -1) + 1)
-    share = (F.col("doc_id") - low).cast("double") / F.greatest(high - low, F.lit(1)).cast("double")
-    inner = F.least(F.greatest(F.floor(share * fine), F.lit(0)), F.lit(fine - 1))
-    run = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(coarse * fine + inner).cast("long")
-    firsts = sorted((r[0], r[1]) for r in ids.filter("doc_id is not null").groupBy(run.alias("run")).agg(F.min("doc_id")).collect())
-    return run, [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
+        return F.lit(0)
+    texts = [("null" if i is None else str(i), m) for i, m in cuts]
+    step = math.isqrt(len(cuts)) + 1
+    parts = [texts[k : k + step] for k in range(0, len(texts), step)]
+
+    def rows(of: list[tuple[str, int]]) -> str:
+        return "[" + ",".join(f'{{"i":{i},"m":{m}}}' for i, m in of) + "]"
+
+    # constants, folded once when the plan is optimized
+    heads = F.from_json(F.lit(rows([p[0] for p in parts])), "array<struct<i:bigint,m:int>>")
+    inner = F.from_json(F.lit("[" + ",".join(map(rows, parts)) + "]"), "array<array<struct<i:bigint,m:int>>>")
+
+    def before(c: Column) -> Column:
+        low = F.when(c["i"].isNull(), F.col("doc_id").isNotNull()).otherwise(F.coalesce(c["i"] < F.col("doc_id"), F.lit(False)))
+        return low | (c["i"].eqNullSafe(F.col("doc_id")) & (c["m"] <= F.col("mark")))
+
+    at = F.size(F.filter(heads, before))
+    return F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + F.size(F.filter(F.get(inner, at - 1), before)))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_sections).
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the
     next document, or all that it has; next is by ascending id, after the last comes the first.
-    Null texts count as empty. Rows with equal ids lie in the order of their texts; rows with a null id come before all
-    others, and none is next to the last row but the smallest id. One row alone is next to itself.
-    Other columns are not read; an empty table gives an empty one.
+    Null texts count as empty. Rows with a null id come first; rows with equal ids lie in the order of a hash of their texts,
+    then of the texts. One row alone is next to itself. ``edited_sections`` are the places, from 0, of the sections where the
+    tree of the edited text differs. Other columns are not read; an empty table gives an empty one.
 
-    One shuffle deals the rows to runs of about a thousand neighbours; each run also gets a copy
-    of the first row of the run after it, so no order over all rows is ever made in one task. The table of runs'
-    first ids is broadcast: 65,536 rows at most.
+    One shuffle deals the rows to runs of neighbours by range, a few for each shuffle partition, of nearly equal
+    size however the ids lie; each run also gets a copy of the first row of the run after it, so no order over all rows is
+    ever made in one task. What the driver gets is a sample of a bounded number of ids for each run, and each run's first row's id.
     """
     spark = docs.sparkSession
     texts = texts_of(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    run, firsts = _runs(texts.select("doc_id"))
-    own = texts.select("doc_id", "text", run.alias("run"), F.lit(0).alias("copy"))
+    texts = texts.withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(_MARKS)).cast("int"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = _run_of(_cuts(texts.select("doc_id", "mark"), RUNS_EACH * parts))
+    keyed = texts.withColumn("run", run)
+    found = keyed.groupBy("run").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark")).alias("first")).collect()
+    firsts = sorted((r[0], r[1]["doc_id"], r[1]["mark"]) for r in found) if found else []
+    own = keyed.withColumn("copy", F.lit(0))
     if firsts:
-        starts = spark.createDataFrame(firsts, "first long, before long")
-        own = own.union(texts.join(F.broadcast(starts), F.col("doc_id") == F.col("first")).select("doc_id", "text", F.col("before").alias("run"), F.lit(1).alias("copy")))
-    dealt = own.repartition("run").withColumn("fingerprint", fingerprint(F.col("text")))
-    order = Window.partitionBy("run").orderBy("copy", F.asc_nulls_first("doc_id"), "text")
+        rows = [(i, m, firsts[k - 1][0]) for k, (_, i, m) in enumerate(firsts)]
+        starts = spark.createDataFrame(rows, "first long, first_mark int, before int")
+        first = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("mark") == F.col("first_mark"))
+        own = own.union(texts.join(F.broadcast(starts), first).select("doc_id", "text", "mark", F.col("before").alias("run"), F.lit(1).alias("copy")))
+    # dealt by range, which is also a clustering by run, so the window below needs no other exchange
+    dealt = own.repartitionByRange(parts, "run").withColumn("tree", tree(F.col("text"))).withColumn("fingerprint", render(F.col("tree"))).drop("tree")
+    order = Window.partitionBy("run").orderBy("copy", F.asc_nulls_first("doc_id"), "mark", "text")
     pairs = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_print", F.lead("fingerprint").over(order)).filter("copy = 0")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     following = F.coalesce("next_text", "text")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(following, F.lit(1), half))
     out = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.coalesce("next_print", "fingerprint").alias("next_print"))
-    out = out.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    out = out.withColumn("tree", tree(F.col("edited"))).withColumn("edited_fingerprint", render(F.col("tree"))).drop("tree")
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
+        changed_sections(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edited_sections"),
     )

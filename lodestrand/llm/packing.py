@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from lodestrand.llm import tokens
 from lodestrand.llm.common import map_batches, materialize, texts_of
 
-#: Parts into which the pieces of one length are dealt to be ranked, so that no length is one group.
-RANK_PARTS = 128
+#: Pieces, about, of one length that are ranked in one group; a length of more is dealt into as many groups as that takes.
+RANK_ROWS = 20_000
 
 
 def plan(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -106,9 +106,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_
     """
     spark = docs.sparkSession
     cut, _ = materialize(pieces_of(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces")
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int"))
+    histogram = {r[0]: r[1] for r in cut.groupBy("length").agg(F.count("*")).collect()}
+    groups = spark.createDataFrame([(size, -(-n // RANK_ROWS)) for size, n in histogram.items()], "length long, groups long")
+    cut = cut.join(F.broadcast(groups), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups")))
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     own = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start"))
