@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +18,9 @@ from lodestrand.llm.common import map_batches, texts_of
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.06
-#: Characters of items whose pieces make one automaton; more items make more blocks, each a pass over the texts.
-BLOCK_CHARS = 500_000
+#: Characters of items whose pieces make one automaton, and automata that a worker holds at once. More items make
+#: more passes over the normalized texts, one after the other within the same stage.
+BLOCK_CHARS, HELD_BLOCKS = 500_000, 8
 
 _GAPS = re.compile(r"[\W_]+")
 
@@ -62,9 +62,9 @@ def within(letters: dict[str, int], m: int, text: str, budget: int) -> int | Non
 
 
 class Finder:
-    """Finds which items of a block are in a text."""
+    """Finds which items of a block are in a text. An item too short for an edit must stand between blanks or the text's ends."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple], rate: float):
         import ahocorasick
 
         self.items = []
@@ -85,7 +85,7 @@ class Finder:
         if found:
             self.automaton.make_automaton()
 
-    def __call__(self, text: str) -> list[tuple[int, int]]:
+    def __call__(self, text: str) -> list[tuple]:
         """(item, distance) of the items found."""
         if not self.items or not text:
             return []
@@ -94,6 +94,8 @@ class Finder:
             for k, b in places:
                 _, m, budget, _ = self.items[k]
                 low, high = max(0, end + 1 - b - budget), end + 1 - b + m + budget
+                if not budget and (text[low - 1 : low].strip() or text[high : high + 1].strip()):
+                    continue
                 own = windows.setdefault(k, [])
                 if own and low <= own[-1][1] and low >= own[-1][0]:
                     own[-1][1] = max(own[-1][1], high)
@@ -117,78 +119,79 @@ class Finder:
         return out
 
 
-def blocks_of(items: DataFrame, block_chars: int, item_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items, normalized, in blocks of a bounded number of characters; one empty block if there are none."""
+def passes_of(items: DataFrame, block_chars: int, item_col: str, item_text_col: str) -> Iterator[list[list[tuple]]]:
+    """The items that have an id and letters, normalized, in passes of some blocks of a bounded number of characters; one pass at least."""
+    held: list[list[tuple]] = []
     block, size = [], 0
-    for name, text in items.select(F.col(item_col).cast("long"), F.col(item_text_col)).toLocalIterator():
+    for name, text in items.select(item_col, item_text_col).filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).toLocalIterator():
         text = normal(text)
+        if not text:
+            continue
         if size and size + len(text) > block_chars:
-            yield block
+            held.append(block)
             block, size = [], 0
+            if len(held) == HELD_BLOCKS:
+                yield held
+                held = []
         block.append((name, text))
         size += len(text)
-    yield block
+    yield [*held, block]
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no item is; see :func:`find_items`."""
-    at = docs.columns.index(text_col)
+def _found(texts: DataFrame, items: DataFrame, rate: float, block_chars: int, item_col: str, item_text_col: str) -> DataFrame:
+    """``texts`` with the columns _items and _distances; the last column of ``texts`` is the text. Each pass adds what
+    its blocks find. Only the first normalizes the texts; between passes they are carried normalized."""
+    spark = texts.sparkSession
+    kind = items.schema[item_col].dataType.simpleString()
+    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    base += ", " if base else ""
+    n = len(texts.columns) - 1
 
-    def keep(block: list[tuple[int, str]]):
+    def search(blocks, first: bool, last: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = Finder(block, rate)
+            finders = [Finder(b, rate) for b in blocks.value]
             for batch in batches:
-                yield batch.filter(pa.array([not find(normal(x.as_py())) for x in batch.column(at)], pa.bool_()))
+                texts = [normal(x.as_py()) if first else x.as_py() for x in batch.column(n)]
+                known = [[] for _ in texts] if first else [list(zip(i, d)) for i, d in zip(batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist())]
+                hits = [sorted({*own, *(h for f in finders for h in f(t))}) for own, t in zip(known, texts)]
+                ids = pa.array([[i for i, _ in h] for h in hits], pa.list_(item_type.value))
+                cols = [*batch.columns[:n], pa.array([None] * len(texts) if last else texts, pa.string()), ids, pa.array([[d for _, d in h] for h in hits], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "_text", "_items", "_distances"])
 
         return run
 
-    for block in blocks_of(items, block_chars, item_col, item_text_col):
-        docs = map_batches(docs, keep(block), docs.schema)
-    return docs
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item_type = spark.sparkContext.broadcast(to_arrow_type(items.schema[item_col].dataType))
+    passes = list(passes_of(items, block_chars, item_col, item_text_col))
+    out = texts
+    for k, blocks in enumerate(passes):
+        # items are a stated query set; one pass holds HELD_BLOCKS * BLOCK_CHARS characters of them at most
+        step = search(spark.sparkContext.broadcast(blocks), k == 0, k == len(passes) - 1)
+        out = map_batches(out, step, f"{base}_text string, _items array<{kind}>, _distances array<int>")
+    return out.drop("_text")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item is; see :func:`find_items`."""
+    own = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
+    at = docs.columns.index(text_col)
+    found = _found(own.withColumn("_search", F.col(f"_{at}")), items, rate, block_chars, item_col, item_text_col)
+    return found.filter(F.size("_items") == 0).select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_ids, distances, n_items, contaminated) for every row of ``docs``.
 
     An item is in a document if some part of the document, both lower-cased and with runs of other
-    characters than letters and digits as one blank, is within floor(rate * length) edits of it. ``item_ids``
-    are in ascending order, ``distances`` belong to them. Null or empty texts hold nothing; null or empty items are in
+    characters than letters and digits as one blank, is within floor(rate * length) edits of it; an item
+    too short for one edit must stand there as whole words. ``item_ids`` are in ascending order, of any type, ``distances`` belong to
+    them; items that share an id are one, with a distance for each that differs. Null or empty texts hold nothing; null or empty items, and items without an id, are in
     nothing; null ids and repeated rows stay as they are. Other columns are not read. No items or
     an empty table give rows without items or none.
 
     Items are a stated query set, gone through in blocks of a bounded number of characters; each block is sent to the
-    executors and read against all texts, without a shuffle. With more than one block the rows of
-    all blocks are put together by document and position of its text.
+    executors and read against all texts, without a shuffle. Texts are normalized once, whatever the number of blocks.
     """
-    texts = texts_of(docs, id_col, text_col)
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = Finder(block, rate)
-            for batch in batches:
-                found = [sorted(find(normal(x.as_py()))) for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[d for _, d in f] for f in found], pa.list_(pa.int32())), pa.array([xx_of(x.as_py()) for x in batch.column(1)], pa.int64())],
-                    names=["doc_id", "item_ids", "distances", "text_key"],
-                )
-
-        return map_batches(texts, run, f"doc_id {kind}, item_ids array<long>, distances array<int>, text_key long")
-
-    each = [search(b) for b in blocks_of(items, block_chars, item_col, item_text_col)]
-    if len(each) == 1:
-        out = each[0].select("doc_id", "item_ids", "distances")
-    else:
-        # every block gives a row for each row of docs; rows alike in id and text are alike in all blocks
-        every = reduce(DataFrame.union, [d.withColumn("block", F.lit(k)) for k, d in enumerate(each)])
-        hits = F.arrays_zip("item_ids", "distances")
-        own = every.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(hits)))).alias("hits"), F.sum(F.when(F.col("block") == 0, 1).otherwise(0)).alias("times"))
-        own = own.select("doc_id", "hits", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-        out = own.select("doc_id", F.col("hits.item_ids").alias("item_ids"), F.col("hits.distances").alias("distances"))
-    return out.select("doc_id", "item_ids", "distances", F.size("item_ids").alias("n_items"), (F.size("item_ids") > 0).alias("contaminated"))
-
-
-def xx_of(text: str | None) -> int:
-    import xxhash
-
-    return -1 if text is None else xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+    found = _found(texts_of(docs, id_col, text_col), items, rate, block_chars, item_col, item_text_col)
+    return found.select("doc_id", F.col("_items").alias("item_ids"), F.col("_distances").alias("distances"), F.size("_items").alias("n_items"), (F.size("_items") > 0).alias("contaminated"))

@@ -69,7 +69,7 @@ def test_bit_parallel_distance(pattern, text, budget):
 @given(st.integers(0, 10**6))
 def test_finder_equals_brute_force(seed):
     rng = random.Random(seed)
-    items = [(k, "".join(rng.choice("abcd ") for _ in range(rng.randint(8, 40))).strip()) for k in range(4)]
+    items = [(k, "".join(rng.choice("abcd ") for _ in range(rng.randint(10, 40))).strip().ljust(10, "a")) for k in range(4)]
     text = "".join(rng.choice("abcd ") for _ in range(60))
     for _, t in items[:2]:
         edited = list(t)
@@ -83,6 +83,22 @@ def test_finder_equals_brute_force(seed):
         assert found.get(k) == (d if t and d <= int(len(t) * 0.1) else None)
 
 
+def test_short_items_are_whole_words():
+    find = dc.Finder([(1, "the cat"), (2, "x")], 0.06)
+    assert find("here is the cat") == [(1, 0)] and find("bathe cats the cattle x") == [(2, 0)] and find("the cat x") == [(1, 0), (2, 0)]
+
+
+def test_odd_items_and_long_texts(spark):
+    items = spark.createDataFrame([("b", "The quick brown fox jumps over the lazy dog."), ("b", "The quick brown fox jumps over the lazy dog."), (None, "word word word word word word"), ("a", "the the")], "item_id string, text string")
+    long = "word " * 40_000 + "the quick brown fox jumps over the lazy dog " + "word " * 40_000
+    docs = spark.createDataFrame([(1, long, "x"), (2, "the the", "y"), (3, None, None)], "doc_id long, text string, _items string")
+    for chars in (10, dc.BLOCK_CHARS):
+        got = {r["doc_id"]: r["item_ids"] for r in dc.find_items(docs, items, block_chars=chars).collect()}
+        assert got == {1: ["b"], 2: ["a"], 3: []}
+        left = dc.clean_documents(docs, items, block_chars=chars)
+        assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [3]
+
+
 def test_find_items_in_blocks(spark):
     items = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog, again and again."), (2, None), (3, ""), (4, "Completely different sentence about nothing at all here.")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "xx the QUICK brown fox  jumped over the lazy dog again and again yy", 0), (1, "xx the QUICK brown fox  jumped over the lazy dog again and again yy", 0), (2, None, 0), (3, "", 0), (4, "clean", 0), (None, "completely different sentence about nothing at all here", 0)], "doc_id long, text string, n_items int")
