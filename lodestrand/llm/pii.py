@@ -1,16 +1,19 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. The field reads runs of words with digits or an @, with features
-of their shapes and of the words around, and adds spans that no base span touches: numbers, addresses and
-contacts that just fail a pattern, and secrets. It is trained on a small labelled table, made here by a rule, and
-decoded by Viterbi in numpy batches. A word without digits and @ is never personal to it, so runs of
-the other words can be decoded alone.
+The patterns give the base spans. The field reads all words of every line, with features of a word's shape and
+of the words around it, and adds spans that no base span touches: numbers, addresses and contacts that just fail a pattern,
+and secrets. It is trained on a small labelled table, made here by a rule, and decoded by Viterbi in numpy batches.
+
+Nearly all words are far from personal. For each word the field gives a bound of what any labelling gains by
+taking it out of O; where no stretch around a word can gain, O is proven and the chain is cut there, so only what is
+left goes through Viterbi, with the same result as the whole line.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import string
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,7 +34,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LONG_RUN = re.compile(r"[0-9][0-9 -]{14,}")
-_TELLING = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+_WORD = re.compile(r"\S+")
 
 Span = tuple[int, int]
 
@@ -86,43 +89,72 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return out
 
 
+class _Classes(dict):
+    """Characters to those of a shape: a, A, 9, some marks as they are, all others x."""
+
+    def __missing__(self, c: int) -> int:
+        return ord("x")
+
+
+_CLASSES = _Classes({ord(c): k for k, own in (("a", string.ascii_lowercase), ("A", string.ascii_uppercase), ("9", string.digits)) for c in own} | {ord(c): c for c in "@.+()-_=:/\"' ,;"})
+_AGAIN = re.compile(r"(.)\1{2,}")
+_EDGES = "\"'.,;:!?()[]{}<>|*$%&#"
+
+
 def shape(word: str) -> str:
     """A word with letters as a or A and digits as 9, runs of more than two shortened."""
-    s = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", word[:64])))
-    return re.sub(r"(.)\1{2,}", r"\1\1", re.sub(r"[^aA9@.+()\-_=:/\"' ,;]", "x", s))
+    return _AGAIN.sub(r"\1\1", word.translate(_CLASSES))
 
 
+# Words before secrets, and words before telephone numbers.
 _CUES = frozenset("token key secret password passwd pwd apikey bearer auth credential".split())
 _CALLS = frozenset("phone tel telephone call mobile fax".split())
+#: The places from which a word gives features to a position: itself, one and two before, one after.
+PLACES = ("", "1:", "2:", "n:")
 
 
-def features(before: list[str], run: list[str], after: str) -> list[crf.Position]:
-    """Features of the words of a run; ``before`` has up to two words before it."""
-    words = [*[""] * (2 - len(before)), *before, *run, after]
-    out = []
-    for k in range(2, len(words) - 1):
-        w = words[k]
-        core = w.strip("\"'.,;:!?()[]{}<>|*$%&#")
-        n = len(_digits(core))
-        f = ["bias", f"shape:{shape(core)[:12]}", f"digits:{min(n, 17)}", f"length:{min(len(core), 48) // 4}", f"dots:{min(core.count('.'), 4)}", f"at:{core.count('@')}", f"all:{core.isdigit()}"]
-        f += [f"hex:{len(core) >= 20 and all(c in '0123456789abcdefABCDEF' for c in core)}", f"mixed:{len(core) >= 16 and core.isalnum() and 0 < n < len(core)}", f"quote:{w[:1] in {chr(34), chr(39)}}"]
-        f += [f"plus:{w[:1] == '+'}", f"paren:{w[:1] == '('}", f"dash:{'-' in core}", f"colon:{':' in core}", f"slash:{'/' in core}"]
-        cue = {x.lower().strip("\"'=:,.") for x in words[k - 2 : k]}
-        f += [f"cue:{bool(cue & _CUES)}", f"call:{bool(cue & _CALLS)}", f"equals:{words[k - 1] in ('=', ':')}", f"last:{shape(words[k - 1])[:8] if k > 2 else ''}", f"next:{shape(words[k + 1])[:8] if k + 2 < len(words) else ''}"]
-        out.append(f)
-    return out
+def _plain(word: str) -> str:
+    return word.lower().strip("\"'=:,.")
+
+
+def alike(word: str) -> str:
+    """A key that only words with the same features share: a long word or a cue itself, else the classes of its characters."""
+    return word if len(word) >= 16 or _plain(word) in _CUES or _plain(word) in _CALLS else word.translate(_CLASSES)
+
+
+def word_features(word: str) -> list[list[str]]:
+    """What a word tells about its own position, the next two positions and the one before; "" is beyond the line."""
+    core = word.strip(_EDGES)
+    n = sum("0" <= c <= "9" for c in core)
+    own = ["bias", f"shape:{shape(core)}", f"digits:{min(n, 17)}", f"length:{len(core).bit_length()}", f"size:{min(len(core), 48) // 4}", f"dots:{min(core.count('.'), 4)}", f"at:{min(core.count('@'), 2)}", f"all:{core.isdigit()}"]
+    own += [f"hex:{len(core) >= 20 and all(c in '0123456789abcdefABCDEF' for c in core)}", f"mixed:{len(core) >= 16 and core.isalnum() and 0 < n < len(core)}", f"cased:{len(core) >= 16 and core.isalnum() and len({c.isupper() for c in core[1:]}) > 1}"]
+    own += [f"quote:{word[:1] in {chr(34), chr(39)}}", f"plus:{word[:1] == '+'}", f"paren:{word[:1] == '('}", f"dash:{'-' in core}", f"colon:{':' in core}", f"slash:{'/' in core}"]
+    plain = _plain(word)
+    cue, call, near = f"cue:{plain in _CUES}", f"call:{plain in _CALLS}", shape(word)
+    return [own, [f"1:{cue}", f"1:{call}", f"1:equals:{word in ('=', ':')}", f"1:ends:{word[-1:] in ('=', ':')}", f"1:{near}"], [f"2:{cue}", f"2:{call}"], [f"n:{near}"]]
+
 
+def line_features(words: list[str]) -> list[crf.Position]:
+    """The features of all words of a line."""
+    told = [word_features(w) for w in ("", "", *words, "")]
+    return [told[k][0] + told[k - 1][1] + told[k - 2][2] + told[k + 1][3] for k in range(2, len(told) - 1)]
 
-def labelled_table(n: int = 420, seed: int = 5) -> list[tuple[list[str], list[str], str, list[str]]]:
-    """Rows (words before, run of telling words, word after, labels B-, I- or O): examples and counter-examples."""
+
+def labelled_table(n: int = 700, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+    """Rows (words of a line, labels B-, I- or O): examples and counter-examples."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 9)))
     close = lambda w: w + rng.choice(["", "", "", ".", ",", "!!", "***", "%%%", "$$$"])
+
+    def prose() -> str:
+        w = "".join(rng.choice(["ar", "en", "ti", "lo", "sch", "é", "ñ", "ü", "ment", "the", "ou", "lich", "ción", "a"]) for _ in range(rng.randint(1, 7)))
+        return close(w.capitalize() if rng.random() < 0.15 else w.upper() if rng.random() < 0.03 else w) if rng.random() < 0.94 else rng.choice(["|", "-", "*", "=", ":", "(see", "a)", "key", "call", "token", "the"])
+
     rows = []
     for _ in range(n):
-        before, after = [word(), word()], word()
-        kind = rng.choice(["email", "email_like", "ip", "card", "card", "phone", "phone_like", "phone_like", "secret", "secret", "year", "count", "time", "price", "version", "code", "date", "unit"])
+        before, after = [word(), word()], [word()] if rng.random() < 0.9 else []
+        kind = rng.choice(["email", "email_like", "ip", "card", "card", "phone", "phone_like", "phone_like", "secret", "secret", "secret", "year", "count", "time", "price", "version", "code", "date", "unit", "prose", "prose", "cue"])
         if kind == "email":
             run, y = [close(f"{word()}.{d(2)}@{word()}{d(1)}.{word()}.com")], ["B-email_like"]
         elif kind == "email_like":
@@ -143,16 +175,28 @@ def labelled_table(n: int = 420, seed: int = 5) -> list[tuple[list[str], list[st
                 before[-1] = rng.choice(sorted(_CALLS)) + rng.choice(["", ":"])
                 run, y = [f"{d(3)}", close(d(rng.randint(4, 7)))], ["B-phone_like", "I-phone_like"]
         elif kind == "secret":
-            before = [rng.choice(sorted(_CUES)), rng.choice(["=", ":", "="])] if rng.random() < 0.8 else before
-            text = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([24, 32, 40, 40, 64]))) if rng.random() < 0.7 else "".join(rng.choice("0123456789abcdefghijKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(20, 44)))
+            form = rng.random()
+            before = [rng.choice(sorted(_CUES)), rng.choice(["=", ":", "="])] if rng.random() < 0.8 or form > 0.85 else before
+            if form < 0.6:
+                text = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([24, 32, 40, 40, 64])))
+            else:
+                text = "".join(rng.choice("0123456789abcdefghijKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(20, 44)))
             text = text[:3] + d(2) + text[5:]
+            if form > 0.85:  # letters alone
+                text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(18, 44)))
             run, y = [f'"{text}"' if rng.random() < 0.7 else text], ["B-secret"]
+        elif kind == "prose":
+            run = [prose() for _ in range(rng.randint(3, 14))]
+            y = ["O"] * len(run)
+        elif kind == "cue":
+            run = [prose(), rng.choice(sorted(_CUES | _CALLS)), *([rng.choice(["=", ":"])] if rng.random() < 0.4 else []), prose(), prose()]
+            y = ["O"] * len(run)
         else:
             text = {"year": str(rng.randint(1800, 2030)), "count": d(rng.randint(1, 7)), "time": f"{rng.randint(0, 23)}:{d(2)}", "price": f"{d(2)}.{d(2)}", "version": f"v{d(1)}.{d(1)}.{d(1)}", "code": word()[:3].upper() + d(rng.randint(1, 4)), "date": f"20{d(2)}-{d(2)}-{d(2)}", "unit": d(2) + rng.choice(["kg", "km", "px", "th", "%"])}[kind]
             run, y = [close(text)], ["O"]
             if rng.random() < 0.3:
                 run, y = [*run, close(d(rng.randint(1, 4)))], ["O", "O"]
-        rows.append((before, run, after, y))
+        rows.append(([*before, *run, *after], ["O"] * len(before) + y + ["O"] * len(after)))
     return rows
 
 
@@ -162,7 +206,7 @@ STATES = ("O", *[f"{p}-{k}" for k in ADDED for p in ("B", "I")])
 @lru_cache(maxsize=1)
 def model() -> crf.Field:
     """The field trained on :func:`labelled_table`; made once in a process."""
-    field = crf.train(STATES, [(features(b, r, a), y) for b, r, a, y in labelled_table()], rounds=10)
+    field = crf.train(STATES, [(line_features(words), y) for words, y in labelled_table()], rounds=10)
     for k, s in enumerate(STATES):  # an inside follows a beginning or an inside of its kind only
         if s[0] == "I":
             kind = s[2:]
@@ -173,36 +217,113 @@ def model() -> crf.Field:
     return field
 
 
-def runs_of(text: str) -> list[list[Span]]:
-    """Runs of neighbouring words with a digit or @, as spans of the words."""
-    out: list[list[Span]] = []
-    last = -2
-    for m in _TELLING.finditer(text):
-        if out and text[last : m.start()].isspace():
-            out[-1].append(m.span())
-        else:
-            out.append([m.span()])
-        last = m.end()
-    return out
+#: Words of a chain; a longer line is more than one chain. Words that are looked at together, and words that a worker remembers.
+CHAIN, TOGETHER, WORD_CACHE = 4096, 1 << 15, 400_000
+_FAR = -1e5
 
 
 class Detector:
     """Base and added spans of texts, many at a time."""
 
     def __init__(self, field: crf.Field):
-        self.field = field
+        self.field, n = field, len(field.states)
+        self.known: dict[str, int] = {}
+        self.kinds: dict[str, int] = {}
+        self.told = [np.zeros((64, n)) for _ in PLACES]
+        stay = field.moves[0, 0]
+        # what a move into a state gains over staying in O, at most, and what leaving for O may gain besides
+        self.enter = np.maximum((field.moves - stay).max(0), field.first - field.first[0])
+        self.leave = max(0.0, float((field.moves[1:, 0] - stay).max()))
+        self.gain = [np.zeros(64) for _ in PLACES]
+        self.beyond = self.number("")
+
+    def number(self, word: str) -> int:
+        key = alike(word)
+        k = self.kinds.get(key)
+        if k is None:
+            k = self.kinds[key] = len(self.kinds)
+            if k == len(self.gain[0]):
+                self.told = [np.concatenate([t, np.zeros_like(t)]) for t in self.told]
+                self.gain = [np.concatenate([g, np.zeros_like(g)]) for g in self.gain]
+            for place, (told, gain, own) in enumerate(zip(self.told, self.gain, word_features(word))):
+                told[k] = self.field.emit([own])[0]
+                gain[k] = (told[k, 1:] + (self.enter[1:] if not place else 0.0)).max() - told[k, 0]
+        self.known[word] = k
+        return k
+
+    def paths(self, chains: list[list[str]]) -> list[tuple[int, int, np.ndarray]]:
+        """(chain, first word, states) of the stretches of chains that aren't proven to be O."""
+        known, number, row = self.known, self.number, [self.beyond, self.beyond]
+        for words in chains:
+            row += [k if (k := known.get(w)) is not None else number(w) for w in words]
+            row += [self.beyond, self.beyond]
+        at = np.array(row)
+        real = np.ones(len(at), bool)
+        starts = np.cumsum([2, *(len(w) + 2 for w in chains)])
+        for gap in (0, 1):
+            real[starts - 2 + gap] = False
+        own, one, two, after = (g[at] for g in self.gain)
+        bound = own
+        bound[1:] += one[:-1]
+        bound[2:] += two[:-2]
+        bound[:-1] += after[1:]
+        bound[~real] = _FAR
+
+        def best(x: np.ndarray) -> np.ndarray:
+            """The most that a stretch which ends just before each place gains, or 0."""
+            total = np.concatenate([[0.0], np.cumsum(x)])
+            return (total - np.minimum.accumulate(total))[:-1]
+
+        live = np.flatnonzero(real & (bound + best(bound) + best(bound[::-1])[::-1] + self.leave > -1e-6))
+        if not len(live):
+            return []
+        cuts = np.flatnonzero(np.diff(live) > 1) + 1
+        scores = self.told[0][at[live]] + self.told[1][at[live - 1]] + self.told[2][at[live - 2]] + self.told[3][at[live + 1]]
+        where, parts = [], []
+        for run, e in zip(np.split(live, cuts), np.split(scores, cuts)):
+            a, z = int(run[0]), int(run[-1])
+            if real[a - 1]:
+                e[0] += self.field.moves[0] - self.field.first
+            if real[z + 1]:
+                e[-1] += self.field.moves[:, 0]
+            chain = int(np.searchsorted(starts, a, "right")) - 1
+            where.append((chain, a - int(starts[chain])))
+            parts.append(e)
+        return [(c, k, path) for (c, k), path in zip(where, self.field.decode(parts))]
 
     def __call__(self, texts: list[str]) -> list[tuple[dict[str, list[Span]], dict[str, list[Span]]]]:
         base = [base_spans(t) for t in texts]
-        where, scores = [], []
-        for k, t in enumerate(texts):
-            for run in runs_of(t):
-                before = t[max(0, run[0][0] - 160) : run[0][0]].split()[-2:]
-                after = t[run[-1][1] : run[-1][1] + 80].split()[:1]
-                where.append((k, run))
-                scores.append(self.field.emit(features(before, [t[a:b] for a, b in run], after[0] if after else "")))
         added: list[dict[str, list[Span]]] = [{k: [] for k in ADDED} for _ in texts]
-        for (k, run), path in zip(where, self.field.decode(scores)):
+        where: list[tuple[int, int, int]] = []  # text, start of the line, words of the line before
+        chains: list[list[str]] = []
+        held = 0
+        for k, t in enumerate(texts):
+            start = 0
+            for line in t.split("\n"):
+                words = line.split()
+                for a in range(0, len(words), CHAIN):
+                    where.append((k, start, a))
+                    chains.append(words[a : a + CHAIN])
+                    held += len(chains[-1])
+                    if held >= TOGETHER:
+                        self._add(texts, base, added, where, chains)
+                        where, chains, held = [], [], 0
+                start += len(line) + 1
+        self._add(texts, base, added, where, chains)
+        return list(zip(base, added))
+
+    def _add(self, texts, base, added, where, chains) -> None:
+        if not chains:
+            return
+        lines: dict[tuple[int, int], list[Span]] = {}
+        for chain, first, path in self.paths(chains):
+            if not path.any():
+                continue
+            k, start, skipped = where[chain]
+            if (k, start) not in lines:
+                end = texts[k].find("\n", start)
+                lines = {(k, start): [m.span() for m in _WORD.finditer(texts[k], start, len(texts[k]) if end < 0 else end)]}
+            spans = lines[k, start]
             taken = [s for own in base[k].values() for s in own]
             at = 0
             while at < len(path):
@@ -211,11 +332,14 @@ class Detector:
                 if state[0] == "B":
                     while stop < len(path) and STATES[path[stop]] == f"I-{state[2:]}":
                         stop += 1
-                    a, b = self._trim(texts[k], run[at][0], run[stop - 1][1])
+                    a, b = self._trim(texts[k], spans[skipped + first + at][0], spans[skipped + first + stop - 1][1])
                     if a < b and not any(a < y and x < b for x, y in taken):
                         added[k][state[2:]].append((a, b))
                 at = stop
-        return list(zip(base, added))
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+            if len(self.kinds) > WORD_CACHE:
+                self.__init__(self.field)
 
     @staticmethod
     def _trim(text: str, a: int, b: int) -> Span:

@@ -1,12 +1,15 @@
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestrand.llm import crf
 from lodestrand.llm import decontaminate as dc
 from lodestrand.llm import fingerprints as fp
 from lodestrand.llm import page_text, pii
@@ -147,11 +150,43 @@ def test_personal_data(spark):
 def test_field_on_held_out_rows():
     rows = pii.labelled_table(300, seed=99)
     f = pii.model()
-    paths = f.decode([f.emit(pii.features(b, r, a)) for b, r, a, _ in rows])
-    right = sum([pii.STATES[s] for s in p] == y for p, (_, _, _, y) in zip(paths, rows))
+    paths = f.decode([f.emit(pii.line_features(words)) for words, _ in rows])
+    right = sum([pii.STATES[s] for s in p] == y for p, (_, y) in zip(paths, rows))
     assert right / len(rows) > 0.95
 
 
+def test_cut_chains_decode_like_whole_lines():
+    f = pii.model()
+    chains = [words for words, _ in pii.labelled_table(250, seed=7)] + [["x"], ["12", "34"], "token = abcDEFghiJKLmnoPQRstu and more words".split()]
+    want = [list(p) for p in f.decode([f.emit(pii.line_features(c)) for c in chains])]
+    got = [[0] * len(c) for c in chains]
+    for chain, first, path in pii.Detector(f).paths(chains):
+        got[chain][first : first + len(path)] = list(path)
+    assert got == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 6))
+def test_viterbi_equals_exhaustive_decoding(seed, n):
+    rng = np.random.default_rng(seed)
+    f = crf.Field(("a", "b", "c"), {}, np.zeros((0, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    scores = [rng.normal(size=(k, 3)) for k in (n, 1, 0, 3)]
+    for e, path in zip(scores, f.decode(scores)):
+        value = lambda p: f.first[p[0]] + sum(e[t, s] for t, s in enumerate(p)) + sum(f.moves[a, b] for a, b in zip(p, p[1:]))
+        if len(e):
+            assert value(path) == pytest.approx(max(map(value, itertools.product(range(3), repeat=len(e)))))
+        else:
+            assert len(path) == 0
+
+
+def test_secrets_of_letters_and_very_long_lines():
+    find = pii.Detector(pii.model())
+    long = "plain words here " * 9000 + "token = " + "aB" * 60 + "7" + " and " + "plain words here " * 9000
+    (_, one), (_, two), (_, three) = find(["password : qWeRtYuIoPaSdFgHjKlZ now", long, "the key = value of the answer, call me later"])
+    assert len(one["secret"]) == 1 and len(two["secret"]) == 1 and long[slice(*two["secret"][0])] == "aB" * 60 + "7"
+    assert not any(three.values())
+
+
 def test_page_text_on_held_out_pages():
     f = page_text.model()
     right = total = 0
