@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from functools import lru_cache
 from html import escape
 from html.parser import HTMLParser
@@ -24,14 +24,14 @@ from lodestrand.llm.common import map_batches
 # Elements that border a block, those without an end tag, and those whose content is never text.
 BLOCKS = frozenset("html head body article section main aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset legend blockquote pre figure figcaption address details summary dialog hr hgroup menu search noscript iframe object button select option label textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = frozenset("script style template svg math head noscript".split())
+SILENT = frozenset("script style template head noscript".split())
+#: Elements of drawings whose content isn't shown; what a drawing or a formula shows is text like any other.
+HIDDEN_IN_SVG = frozenset("title desc metadata defs".split())
 #: Start tags that end an open element of the same kind, as HTML has it.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDED_BY_BLOCK = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _NAMES = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
-#: Ancestors that a block looks at; deeper nesting than that is looked at from inside.
-DEPTH = 24
 
 
 class Block:
@@ -42,13 +42,19 @@ class Block:
 
 
 class Reader(HTMLParser):
-    """Leaf blocks of a page in page order, with the marks of their ancestors."""
+    """Leaf blocks of a page in page order, with the marks of all their ancestors, each once, whatever the depth.
+    Marks that a field doesn't know count nothing, so only those in ``known`` are kept, if that is given: a block then
+    has no more marks than the field has features, and a page of any depth is read in time and memory of its length."""
 
-    def __init__(self):
+    def __init__(self, known: Container[str] | None = None):
         super().__init__(convert_charrefs=True)
+        self.known = known
         self.blocks: list[Block] = []
         self.open: list[tuple[str, list[str]]] = []
+        self.marks: dict[str, int] = {}  # marks of the open elements, how often each
+        self.places: dict[str, int] = {}  # how many of a tag are open
         self.silent = 0
+        self.drawings = 0
         self.links = 0
         self.parts: list[str] = []
         self.linked = 0
@@ -57,25 +63,41 @@ class Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                marks = [m for _, own in self.open[-DEPTH:] for m in own]
-                self.blocks.append(Block(marks, text, self.linked, self.open[-1][0] if self.open else ""))
+                self.blocks.append(Block(list(self.marks), text, self.linked, self.open[-1][0] if self.open else ""))
             self.parts, self.linked = [], 0
 
+    def push(self, tag: str, marks: list[str]) -> None:
+        self.open.append((tag, marks))
+        self.silent += tag in SILENT
+        self.places[tag] = self.places.get(tag, 0) + 1
+        for m in marks:
+            self.marks[m] = self.marks.get(m, 0) + 1
+
     def pop(self, at: int) -> None:
         self.flush()
-        for tag, _ in self.open[at:]:
+        for tag, marks in self.open[at:]:
             self.silent -= tag in SILENT
+            self.places[tag] -= 1
+            for m in marks:
+                self.marks[m] -= 1
+                if not self.marks[m]:
+                    del self.marks[m]
         del self.open[at:]
 
     def handle_starttag(self, tag, attrs) -> None:
+        if tag == "svg":
+            self.drawings += 1
         if tag == "a":
             self.links += 1
         if tag == "br":
             self.parts.append(" ")
+        if self.drawings and tag in HIDDEN_IN_SVG:
+            self.silent += 1
+            return
         if tag not in BLOCKS and tag not in SILENT:
             return
         self.flush()
-        if tag == "body":
+        if tag == "body" and self.places.get("head"):
             for k, (name, _) in enumerate(self.open):
                 if name == "head":
                     self.pop(k)
@@ -92,20 +114,33 @@ class Reader(HTMLParser):
         marks = [f"in:{tag}"]
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                marks += [f"is:{w}" for w in _NAMES.findall(value.lower())[:12]]
-        self.open.append((tag, marks))
-        self.silent += tag in SILENT
+                marks += [f"is:{w}" for w in _NAMES.findall(value.lower())]
+        if self.known is not None:
+            marks = [m for m in marks if m in self.known]
+        self.push(tag, marks)
+
+    def handle_startendtag(self, tag, attrs) -> None:
+        # "/>" closes elements of drawings and formulas; of others it means nothing
+        if not (self.drawings and (tag in HIDDEN_IN_SVG or tag == "svg")) and tag != "svg":
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag) -> None:
+        if tag == "svg":
+            self.drawings = max(0, self.drawings - 1)
+            if not self.drawings:  # whatever was left open in it is over
+                self.silent = sum(self.places.get(t, 0) for t in SILENT)
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag in BLOCKS or tag in SILENT:
+        if self.drawings and tag in HIDDEN_IN_SVG:
+            self.silent = max(0, self.silent - 1)
+        elif (tag in BLOCKS or tag in SILENT) and not self.places.get(tag):
+            self.flush()
+        elif tag in BLOCKS or tag in SILENT:
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == tag:
                     self.links = 0
                     self.pop(k)
                     return
-            self.flush()
 
     def handle_data(self, data) -> None:
         if not self.silent:
@@ -114,11 +149,11 @@ class Reader(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def read(html: str | None) -> list[Block]:
+def read(html: str | None, known: Container[str] | None = None) -> list[Block]:
     """The leaf blocks of a page; none of a null or empty one. A page cut off anywhere gives what was there."""
     if not html:
         return []
-    r = Reader()
+    r = Reader(known)
     r.feed(html)
     r.close()
     r.flush()
@@ -129,8 +164,8 @@ def features(blocks: list[Block]) -> list[crf.Position]:
     out = []
     for b in blocks:
         n = len(b.text)
-        words = len(_WORD.findall(b.text[:4000])) if n > 4000 else len(_WORD.findall(b.text))
-        f = [*dict.fromkeys(b.marks), f"tag:{b.tag}", f"length:{n.bit_length()}", f"links:{min(4, 5 * b.linked // max(1, n))}"]
+        words = sum(1 for _ in _WORD.finditer(b.text))
+        f = [*b.marks, f"tag:{b.tag}", f"length:{n.bit_length()}", f"links:{min(4, 5 * b.linked // max(1, n))}"]
         f += [f"words:{min(6, words.bit_length())}", f"stop:{b.text[-1] in '.!?…'}", f"mark:{b.text[0] in '©®'}", f"bar:{'|' in b.text or '·' in b.text or '»' in b.text}"]
         out.append(["bias", *f])
     return out
@@ -267,7 +302,7 @@ def page_texts(pages: DataFrame, field: crf.Field | None = None, id_col: str = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [read(x.as_py()) for x in batch.column(2)]
+            found = [read(x.as_py(), field.features) for x in batch.column(2)]
             paths = field.decode([field.emit(features(b)) for b in found])
             texts = ["\n".join(b.text for b, s in zip(blocks, path) if s == 1) for blocks, path in zip(found, paths)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

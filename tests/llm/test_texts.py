@@ -204,6 +204,33 @@ def test_page_texts(spark):
     assert got[2]["text"] == "" and got[3]["n_chars"] == 0 and None in got
 
 
+def main_text(html):
+    f = page_text.model()
+    blocks = page_text.read(html, f.features)
+    return [b.text for b, s in zip(blocks, f.decode([f.emit(page_text.features(blocks))])[0]) if s]
+
+
+def test_marks_at_any_depth_and_formulas():
+    prose = "Some sentence of the article, with words enough to be read. And another one."
+    inner = "<div>" * 60
+    page = f'<body><nav>{inner}<p>{prose}</p>{"</div>" * 60}</nav><article>{inner}<p>{prose} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p>{"</div>" * 60}</article><div class="a b c d e f g h i j k l m n comments">{inner}<p>{prose}</p></div></body>'
+    assert main_text(page) == [prose + " x=2 here."]
+    drawn = f'<body><article><p>{prose}</p><p>Figure <svg><title>no</title><desc/><text>label shown</text></svg> one.</p><p>{prose}</p></article></body>'
+    assert main_text(drawn) == [prose, "Figure label shown one.", prose]
+
+
+def test_known_marks_change_nothing():
+    f = page_text.model()
+    for page, _ in page_text.labelled_pages(30, seed=77):
+        a, b = ([f.emit(page_text.features(page_text.read(page, k)))] for k in (None, f.features))
+        assert np.allclose(a[0], b[0])
+
+
+def test_deep_page_with_many_names():
+    page = "<body><article>" + "".join(f'<div class="name{k} other{k}">text {k} here.' for k in range(20_000))
+    assert len(page_text.read(page, page_text.model().features)) == 20_000
+
+
 @pytest.mark.parametrize("size", [0, 1, 5000])
 def test_long_and_empty_pages(size):
     html = "<body><article>" + "<p>some words here, and more.</p>" * size + "</article></body>"
