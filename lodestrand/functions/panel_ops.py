@@ -205,21 +205,23 @@ def _sql_paired(x: str, y: str, n: int, value: str, least: int | None = None) ->
 
 
 def _sma_rows(n: int, m: int) -> int:
-    """Rows after which an older value of the recursion weighs less than a double's last bit."""
+    """Values after which an older one of the recursion weighs less than a double's last bit."""
     import math
 
-    return 1 if n == m else min(600, math.ceil(math.log(1e-18) / math.log(1 - m / n)))
+    return 1 if n == m else math.ceil(math.log(1e-18) / math.log(1 - m / n))
 
 
 def _sma(x: Column, n: int, m: int) -> Column:
-    """Y = (m x + (n - m) Y before) / n, from the first value on; a missing x keeps the Y before."""
-    xs = F.collect_list(x).over(over(_sma_rows(n, m)))
+    """Y = (m x + (n - m) Y before) / n, from the first value on; a missing x keeps the Y before. The window
+    counts rows with a value only, so no run of missing ones makes the recursion forget."""
+    valued = Window.partitionBy("code", x.isNull()).orderBy("date").rowsBetween(1 - _sma_rows(n, m), 0)
+    xs = F.collect_list(x).over(valued)
     step = F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.get(xs, F.lit(0)), lambda y, v: (m * v + (n - m) * y) / n)
-    return F.when(F.size(xs) > 0, step)
+    return F.last(F.when(x.isNotNull(), step), ignorenulls=True).over(over(None))
 
 
 def _sql_sma(x: str, n: int, m: int) -> str:
-    return f"list_reduce(list({x}) FILTER (WHERE {x} IS NOT NULL) {sql_over(_sma_rows(n, m))}, lambda y, v: ({m} * v + {n - m} * y) / {n}.0)"
+    return f"list_reduce(list({x}) FILTER (WHERE {x} IS NOT NULL) {sql_over(None)}, lambda y, v: ({m} * v + {n - m} * y) / {n}.0)"
 
 
 def _position() -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrand.operators import documents, folds
 from lodestrand.plans.factors import sets
 from lodestrand.plans.layers import compute, to_sql
+from lodestrand.plans.oracles import operators
 from lodestrand.plans.sql_queries import QUERIES
 from lodestrand.sources.panel import BRAND_WEEK_SQL, brand_week, table
 
@@ -21,11 +22,11 @@ OPERATORS = {
     "compare_flags": "(close > DELAY(close, 1)) + (volume <= DELAY(volume, 1))", "filter_values": "FILTER(close, close > open)", "elementwise_max": "MAX(open, close)", "elementwise_fmax": "FMAX(DELAY(close, 3), open)",
     "cs_rank": "RANK(close)", "cs_rank_average": "RANKAVG(volume)", "cs_scale": "SCALE(close - open)", "indneutralize": "NEUT(close, industry)", "winsorize": "WINSOR(close, 0.01)", "zscore": "ZSCORE(amount)", "cs_demean": "close - XMEAN(close)",
     "ts_delay": "DELAY(close, 3)", "ts_delta": "DELTA(close, 3)", "returns": "RET(close, 1)", "forward_return": "DELAY(close, -4) / close - 1", "ts_sum": "SUM(volume, 10)", "ts_mean": "MEAN(close, 10)", "ts_std": "STD(close, 10)", "rolling_std": "STD1(close, 10)",
-    "ts_min": "TSMIN(low, 10)", "ts_max": "TSMAX(high, 10)", "ts_rank": "TSRANK(close, 10)", "ts_argmax": "ARGMAX(high, 10)", "ts_argmin": "ARGMIN(low, 10)", "highday": "HIGHDAY(high, 10)", "lowday": "LOWDAY(low, 10)", "ts_product": "PROD(close / open, 5)",
+    "ts_min": "TSMIN(low, 10)", "ts_max": "TSMAX(high, 10)", "ts_rank": "TSRANK(close, 10)", "ts_argmax": "ARGMAX(high, 10)", "ts_argmin": "ARGMIN(low, 10)", "highday": "HIGHDAY(high, 10)", "lowday": "LOWDAY(low, 10)", "ts_argmax_zero": "ARGMAX(high, 10) - 1", "ts_product": "PROD(close / open, 5)",
     "ts_corr": "CORR(close, volume, 10)", "ts_corr_partial": "CORR2(close, volume, 10)", "ts_cov": "COV(close, volume, 10)", "ts_decay_linear": "DECAY(close, 10)", "wma": "WMA(close, 10)", "sma_gtja": "SMA(close, 7, 2)", "ts_count": "COUNT(close > open, 10)",
     "ts_sumif": "SUMIF(volume, close > open, 10)", "sumac": "SUMAC(volume)", "regbeta_seq": "SLOPE(close, 10)", "regbeta": "REGBETA(returns, XMEAN(returns), 20)", "regresi": "REGRESI(close, volume, 10)", "ts_quantile": "QUANTILE(close, 20, 0.8)", "ts_ols_r2": "RSQUARE(close, 10)", "ts_ols_residual": "RESIDUAL(close, 10)",
     "beta": "REGBETA(returns, XMEAN(returns), 60)", "rsi": "100 - 100 / (1 + MEAN(GREATEST(DELTA(close, 1), 0), 14) / MEAN(GREATEST(-1 * DELTA(close, 1), 0), 14))", "bollinger": "(close - MEAN(close, 20)) / (2 * STD(close, 20))", "williams_r": "-100 * (TSMAX(high, 32) - close) / (TSMAX(high, 32) - TSMIN(low, 32)) + 50",
-    "rsrs": "LASTZ(OLDSLOPE(high, low, 18), 200, 25)", "drawdown": "close / CUMMAX(close) - 1", "cum_nav": "CUMPROD(1 + MAX(MIN(returns + 0 * close, 1 + 0 * close), -0.5 + 0 * close) / 100)", "qlib_expression": "(close / Ref(close, 20) - 1) * Log(volume / Ref(volume, 20))",
+    "rsrs": "LASTZ(OLDSLOPE(high, low, 18), 600, 250)", "drawdown": "close / CUMMAX(close) - 1", "cum_nav": "CUMPROD(1 + returns)", "qlib_expression": "(close / Ref(close, 20) - 1) * Log(volume / Ref(volume, 20))",
 }
 
 
@@ -40,8 +41,7 @@ def _factor_groups() -> dict[str, dict[str, str]]:
         return {f"{name}_{k // size + 1:02d}": {c: formulas[c] for c in keys[k : k + size]} for k in range(0, len(keys), size)}
 
     wq = sets.factor_set("wq101")
-    # Its powers reach 1e291; their logarithms compare.
-    wq["alpha84"] = "SIGN(TSRANK(vwap - TSMAX(vwap, 15), 20)) * DELTA(close, 4) * LOG(ABS(TSRANK(vwap - TSMAX(vwap, 15), 20)))"
+    del wq["alpha84"]  # its powers reach 1e291: a query of its own gives digits and power of ten
     prices = {k: v for k, v in sets.quant33().items() if not set("roe_ttm roa_ttm net_margin debt_to_asset asset_turnover revenue_yoy profit_yoy eps_yoy".split()) & {k}}
     return groups("alpha101", wq, 9) | groups("alpha158", sets.alpha158(), 40) | {"gtja191": sets.gtja191(), "quant33": prices}
 
@@ -69,7 +69,25 @@ def _batch(spark: SparkSession, d: str) -> DataFrame:
     return compute(brand_week(spark, d), _BATCH, 6)
 
 
-_BATCH = {**{f"gtja191_{k}": v for k, v in list(sets.gtja191().items())[:3]}, **{f"alpha158_{k}": v for k, v in list(sets.alpha158().items())[:5]}}
+def _of_prices() -> dict[str, str]:
+    """The factors of the set of 33 that need nothing but a panel."""
+    return {k: v for k, v in sets.quant33().items() if not any(n in v for n in sets.FUNDAMENTALS)}
+
+
+_BATCH = {**{f"gtja191_{k}": v for k, v in sets.gtja191().items()}, **{f"quant33_{k}": v for k, v in _of_prices().items()}}
+
+
+def alpha84(spark: SparkSession, d: str) -> DataFrame:
+    """(date, code, digits, power): alpha84 = digits * 10 ** power, as its powers reach 1e291; both null where it is null, 0 where it is 0."""
+    x = compute(brand_week(spark, d), {"x": sets.factor_set("wq101")["alpha84"]})
+    power = F.floor(F.log10(F.nullif(F.abs("x"), F.lit(0.0))) + 1e-9)
+    return x.select("date", "code", F.when(F.col("x") == 0, 0.0).otherwise(F.round(F.try_divide(F.col("x"), F.pow(F.lit(10.0), power)), 5)).alias("digits"), F.when(F.col("x") == 0, 0).otherwise(power).cast("long").alias("power"))
+
+
+def _alpha84_sql() -> str:
+    inner = to_sql(BRAND_WEEK_SQL, {"x": sets.factor_set("wq101")["alpha84"]}, None)
+    power = "floor(log10(nullif(abs(x), 0)) + 1e-9)"
+    return f"SELECT date, code, CASE WHEN x = 0 THEN 0.0 ELSE round(x / pow(10.0, {power}), 5) END AS digits, CAST(CASE WHEN x = 0 THEN 0 ELSE {power} END AS BIGINT) AS power FROM ({inner}) q"
 
 
 def _formulas() -> dict[str, dict[str, str]]:
@@ -82,11 +100,14 @@ def queries() -> dict[str, Query]:
     out["doc_normalize"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(documents.normalized(F.col("text")).cast("binary")).alias("text_md5"))
     out["doc_outline"] = lambda s, d: table(s, d, "documents").select("doc_id", F.size(documents.outline(F.col("text"))).alias("n_lines"))
     out |= folds.queries()
+    out["alpha84"] = alpha84
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: to_sql(BRAND_WEEK_SQL, f) for k, f in _formulas().items()}
+    out |= operators.sql()
+    out["alpha84"] = _alpha84_sql()
     out |= {k: q.sql() for k, q in QUERIES.items()}
     out["doc_normalize"] = r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))) AS text_md5 FROM documents"
     return out

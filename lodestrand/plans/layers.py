@@ -142,7 +142,7 @@ def compute(panel: DataFrame, formulas: dict[str, str | Node], digits: int | Non
     return df.select("date", "code", *[value(spark(n).cast("double")).alias(k) for k, n in trees.items()])
 
 
-def to_sql(panel_sql: str, formulas: dict[str, str | Node], digits: int = 6, where: str = "") -> str:
+def to_sql(panel_sql: str, formulas: dict[str, str | Node], digits: int | None = 6, where: str = "") -> str:
     """The same as :func:`compute` in one SQL statement over any table expression of a panel."""
     trees = {k: tree(f) for k, f in formulas.items()}
     plan = _Plan(trees)
@@ -157,5 +157,6 @@ def to_sql(panel_sql: str, formulas: dict[str, str | Node], digits: int = 6, whe
         if k < len(plan.layers):
             parts.append(f"w{k} AS (SELECT *, {', '.join(f'{sql(n, True)} AS {plan.names[n]}' for n in plan.layers[k])} FROM {last})")
             last = f"w{k}"
-    out = ", ".join(f"{sql_rounded(f'CAST({sql(n)} AS DOUBLE)', digits)} AS {k}" for k, n in trees.items())
+    value = (lambda x: f"(CASE WHEN isfinite({x}) THEN {x} END)") if digits is None else lambda x: sql_rounded(x, digits)
+    out = ", ".join(f"{value(f'CAST({sql(n)} AS DOUBLE)')} AS {k}" for k, n in trees.items())
     return f"WITH {', '.join(parts)} SELECT date, code, {out} FROM {last}{where}"
