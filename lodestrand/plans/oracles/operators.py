@@ -43,7 +43,7 @@ _UP, _DOWN = "greatest(close - before, 0)", "greatest(before - close, 0)"
 #: The value of each query, over a panel with rn (the row's number in its code), before (the last close), ret and market.
 VALUES = {
     "safe_div": "(close - open) / nullif(volume - 100, 0)",
-    "signed_power": "sign(close - open) * pow(abs(close - open), 2)",
+    "signed_power": "(close - open) * abs(close - open)",
     "vwap": "CASE WHEN coalesce(volume, 0) = 0 OR amount IS NULL THEN (open + high + low + close) / 4 ELSE amount / volume END",
     "adv_amount": rolled("avg", "amount", 20),
     "log_floor": "CASE WHEN close <> open THEN ln(CASE WHEN close - open < 1e-30 THEN 1e-30 ELSE close - open END) END",
