@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.operators import documents, folds
+from lodestrand.plans import evaluation_queries
 from lodestrand.plans.factors import sets
 from lodestrand.plans.layers import compute, to_sql
 from lodestrand.plans.oracles import operators
@@ -16,6 +17,9 @@ from lodestrand.sources.panel import BRAND_WEEK_SQL, brand_week, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules of queries, each a function over DataFrames with SQL of its own.
+MODULES = (evaluation_queries,)
+
 #: One formula for each panel operator.
 OPERATORS = {
     "safe_div": "(close - open) / (volume - 100)", "signed_power": "(close - open) ^ 2", "vwap": "vwap", "adv_amount": "MEAN(amount, 20)", "log_floor": "FLOORLOG(close - open)", "if_where": "IF(close > open, 1, -1)",
@@ -100,6 +104,8 @@ def queries() -> dict[str, Query]:
     out["doc_normalize"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(documents.normalized(F.col("text")).cast("binary")).alias("text_md5"))
     out["doc_outline"] = lambda s, d: table(s, d, "documents").select("doc_id", F.size(documents.outline(F.col("text"))).alias("n_lines"))
     out |= folds.queries()
+    for module in MODULES:
+        out |= {k: q.spark for k, q in module.QUERIES.items()}
     out["alpha84"] = alpha84
     return out
 
@@ -110,4 +116,9 @@ def oracle_sql() -> dict[str, str]:
     out["alpha84"] = _alpha84_sql()
     out |= {k: q.sql() for k, q in QUERIES.items()}
     out["doc_normalize"] = r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))) AS text_md5 FROM documents"
+    for module in MODULES:
+        for k, q in module.QUERIES.items():
+            out.pop(k, None)
+            if q.sql:
+                out[k] = q.sql
     return out
