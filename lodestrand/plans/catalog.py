@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.operators import documents, folds
-from lodestrand.plans import evaluation_queries
+from lodestrand.plans import evaluation_queries, nav_queries
 from lodestrand.plans.factors import sets
 from lodestrand.plans.layers import compute, to_sql
 from lodestrand.plans.oracles import operators
@@ -18,7 +18,7 @@ from lodestrand.sources.panel import BRAND_WEEK_SQL, brand_week, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries, each a function over DataFrames with SQL of its own.
-MODULES = (evaluation_queries,)
+MODULES = (evaluation_queries, nav_queries)
 
 #: One formula for each panel operator.
 OPERATORS = {
