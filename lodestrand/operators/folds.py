@@ -1,95 +1,34 @@
-"""Sequential ledgers: what depends on all that went before, one group of rows a task at a time."""
+"""Sequential operators: what depends on all that went before. Rows are dealt by key, sorted once by Spark, and folded as
+they stream by, so a group of any length takes the memory of its state and many small groups share a task.
+A fold can't be split: one key's rows are one task's, but they are never held together."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby, islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from lodestrand.sources.panel import brand_week, table
+Fold = Callable[[tuple, Iterator[tuple]], Iterable[tuple]]
+_OUT_ROWS = 10_000
 
 
-def position_ledger(trades: DataFrame) -> DataFrame:
-    """(account, code, quantity, cost, realized) after all trades of each (account, code), in their
-    order: average cost, sales no larger than what is held, profit realized against it."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        quantity = cost = realized = 0.0
-        for side, q, price, fee in rows.sort_values(["time", "seq"], kind="stable")[["side", "qty", "price", "fee"]].itertuples(index=False):
-            if side == "BUY":
-                cost = (cost * quantity + q * price + fee) / (quantity + q) if quantity + q else 0.0
-                quantity += q
-            else:
-                sold = min(q, quantity)
-                realized += sold * (price - cost) - fee
-                quantity -= sold
-        first = rows.iloc[0]
-        return pd.DataFrame([(first["account"], first["code"], quantity, cost, realized)], columns=["account", "code", "quantity", "cost", "realized"])
+def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, schema: str | StructType) -> DataFrame:
+    """``fold`` gets each key and its rows, whole rows in the columns' order, sorted by ``order`` and then by all other columns (so
+    repeated and tied rows come in one order), nulls first; it gives rows of ``schema``. An empty table gives an empty one."""
+    kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    columns = df.columns
+    rest = [c for c in columns if c not in keys and c not in order]
+    at = [columns.index(k) for k in keys]
+    target = to_arrow_schema(kind)
 
-    return trades.groupBy("account", "code").applyInPandas(run, "account long, code long, quantity double, cost double, realized double")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        out = (made for key, own in groupby(rows, key=lambda r: tuple(r[k] for k in at)) for made in fold(key, own))
+        while part := list(islice(out, _OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), target)], schema=target)
 
-
-def sleeve_ledger(prices: DataFrame, cash: float = 10_000.0, fee: float = 0.0015, every: int = 4) -> DataFrame:
-    """(sleeve, date, equity, cash) of sleeves that hold their codes at equal weights: on every so
-    many dates they sell what is too much, then buy with what cash there is after costs."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, money, held, last = [], cash, {}, {}
-        for k, (date, day) in enumerate(rows.sort_values(["date", "code"]).groupby("date", sort=True)):
-            last.update(zip(day["code"], day["close"]))
-            equity = money + sum(q * last[c] for c, q in held.items())
-            if k % every == 0:
-                want = equity / max(1, len(day))
-                codes = dict(zip(day["code"], day["close"]))
-                for c in sorted(codes):
-                    extra = held.get(c, 0.0) * codes[c] - want
-                    if extra > 0:
-                        held[c] -= extra / codes[c]
-                        money += extra * (1 - fee)
-                for c in sorted(codes):
-                    short = want - held.get(c, 0.0) * codes[c]
-                    spend = min(max(0.0, short), money / (1 + fee))
-                    if spend > 0:
-                        held[c] = held.get(c, 0.0) + spend / codes[c]
-                        money -= spend * (1 + fee)
-                equity = money + sum(q * last[c] for c, q in held.items())
-            out.append((rows.iloc[0]["sleeve"], date, equity, money))
-        return pd.DataFrame(out, columns=["sleeve", "date", "equity", "cash"])
-
-    return prices.groupBy("sleeve").applyInPandas(run, "sleeve string, date date, equity double, cash double")
-
-
-def breakout_machine(bars: DataFrame, look: int = 9, stop: float = 0.05, cooldown: int = 5) -> DataFrame:
-    """(code, date, action, price): long when the close passes the high of the bars before, out at a
-    trailing stop, then quiet for some bars."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, inside, peak, quiet = [], False, 0.0, 0
-        rows = rows.sort_values("date")
-        highs, closes = rows["high"].to_list(), rows["close"].to_list()
-        for k, (date, close) in enumerate(zip(rows["date"], closes)):
-            quiet = max(0, quiet - 1)
-            if inside:
-                peak = max(peak, close)
-                if close < peak * (1 - stop):
-                    out.append((rows["code"].iloc[0], date, "exit", close))
-                    inside, quiet = False, cooldown
-            elif k >= look and not quiet and close > max(highs[k - look : k]):
-                out.append((rows["code"].iloc[0], date, "enter", close))
-                inside, peak = True, close
-        return pd.DataFrame(out, columns=["code", "date", "action", "price"])
-
-    return bars.groupBy("code").applyInPandas(run, "code string, date date, action string, price double")
-
-
-def trades_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY")
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.select(F.col("l_suppkey").alias("account"), F.col("l_partkey").alias("code"), F.col("l_shipdate").alias("time"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), side.alias("side"), F.col("l_quantity").alias("qty"), F.try_divide("l_extendedprice", "l_quantity").alias("price"), F.greatest(F.col("l_extendedprice") * 0.0003, F.lit(5.0)).alias("fee"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "position_ledger": lambda s, d: position_ledger(trades_of(s, d)),
-        "sleeve_ledger": lambda s, d: sleeve_ledger(brand_week(s, d).select(F.col("sector").alias("sleeve"), "date", "code", "close")),
-        "breakout_machine": lambda s, d: breakout_machine(brand_week(s, d).select("code", "date", "high", "close")),
-    }
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order, *rest).mapInArrow(run, kind)

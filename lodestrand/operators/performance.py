@@ -11,8 +11,12 @@ from pyspark.sql.window import Window
 from lodestrand.functions.panel_ops import pair_corr
 from lodestrand.plans.layers import rounded
 
-OWN = Window.partitionBy("strategy").orderBy("date")
-SO_FAR = OWN.rowsBetween(Window.unboundedPreceding, 0)
+def _own():
+    return Window.partitionBy("strategy").orderBy("date")
+
+
+def _so_far():
+    return _own().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def nav_of(panel: DataFrame) -> DataFrame:
@@ -24,21 +28,21 @@ def nav_of(panel: DataFrame) -> DataFrame:
 
 def returns_of(nav: DataFrame) -> DataFrame:
     """``nav`` with r and b, the returns of the series and of its benchmark since the row before."""
-    step = lambda c: F.try_divide(c, F.lag(c).over(OWN)) - 1
+    step = lambda c: F.try_divide(c, F.lag(c).over(_own())) - 1
     return nav.withColumns({"r": step("nav"), "b": step("benchmark")})
 
 
 def aligned(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``nav`` (strategy, date, nav) with the latest value of ``benchmark`` (date, benchmark) up to each date, 1 before its first."""
     joined = nav.join(benchmark, "date", "left")
-    return joined.withColumn("benchmark", F.coalesce(F.last("benchmark", ignorenulls=True).over(SO_FAR), F.lit(1.0)))
+    return joined.withColumn("benchmark", F.coalesce(F.last("benchmark", ignorenulls=True).over(_so_far()), F.lit(1.0)))
 
 
 def metrics(nav: DataFrame, periods: int = 252, population: bool = True) -> DataFrame:
     """A row a strategy: observations, returns, volatilities, drawdown, ratios, beta, alpha, tracking error, value at risk, win rate.
 
     Annual figures take ``periods`` rows a year; deviations are of the population, or of a sample. What divides by nothing is NULL."""
-    rows = returns_of(nav).withColumn("fall", F.try_divide(F.col("nav"), F.max("nav").over(SO_FAR)) - 1)
+    rows = returns_of(nav).withColumn("fall", F.try_divide(F.col("nav"), F.max("nav").over(_so_far())) - 1)
     std = F.stddev_pop if population else F.stddev_samp
     year, root = float(periods), float(periods) ** 0.5
     g = rows.groupBy("strategy").agg(
@@ -60,7 +64,7 @@ def metrics(nav: DataFrame, periods: int = 252, population: bool = True) -> Data
 
 def kpis(nav: DataFrame) -> DataFrame:
     """(strategy, days, total_return, annual_return, volatility, sharpe, max_drawdown) with calendar days for the year and sample deviations."""
-    rows = returns_of(nav).withColumn("fall", F.try_divide(F.col("nav"), F.max("nav").over(SO_FAR)) - 1)
+    rows = returns_of(nav).withColumn("fall", F.try_divide(F.col("nav"), F.max("nav").over(_so_far())) - 1)
     g = rows.groupBy("strategy").agg(F.min_by("nav", "date").alias("n0"), F.max_by("nav", "date").alias("n1"), F.datediff(F.max("date"), F.min("date")).alias("days"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("k"), F.min("fall").alias("dd"))
     total, year = F.try_divide("n1", "n0") - 1, F.try_divide(F.col("k") * 365.25, F.col("days"))
     annual = F.when((F.col("days") > 0) & (total > -1), F.pow(1 + total, 365.25 / F.nullif(F.col("days"), F.lit(0))) - 1)
@@ -80,7 +84,7 @@ def period_returns(nav: DataFrame, unit: str) -> DataFrame:
 def drawdown_events(nav: DataFrame, least: float = 0.02, keep: int | None = 5) -> DataFrame:
     """(strategy, start, trough, recovered, depth, days) of the falls of ``least`` and more from a peak: the peak's date, the date of the
     lowest value, the date of the first value that is back, NULL if none is, and rows below. The last ``keep`` of a strategy."""
-    rows = nav.withColumn("peak", F.max("nav").over(SO_FAR)).withColumn("high", F.sum((F.col("nav") >= F.col("peak")).cast("int")).over(SO_FAR))
+    rows = nav.withColumn("peak", F.max("nav").over(_so_far())).withColumn("high", F.sum((F.col("nav") >= F.col("peak")).cast("int")).over(_so_far()))
     spells = rows.groupBy("strategy", "high").agg(
         F.min("date").alias("start"), F.max("peak").alias("peak"), F.min(F.struct(F.col("nav"), F.col("date"))).alias("low"), F.sum((F.col("nav") < F.col("peak")).cast("int")).alias("days")
     )
@@ -94,7 +98,7 @@ def drawdown_events(nav: DataFrame, least: float = 0.02, keep: int | None = 5) -
 
 def underwater(nav: DataFrame) -> DataFrame:
     """(strategy, longest): the most calendar days between a peak and the next value as high, or the last value."""
-    rows = nav.withColumn("peak", F.max("nav").over(SO_FAR)).withColumn("high", F.sum((F.col("nav") >= F.col("peak")).cast("int")).over(SO_FAR))
+    rows = nav.withColumn("peak", F.max("nav").over(_so_far())).withColumn("high", F.sum((F.col("nav") >= F.col("peak")).cast("int")).over(_so_far()))
     spells = rows.groupBy("strategy", "high").agg(F.min("date").alias("start"), F.max("date").alias("end"))
     following = F.coalesce(F.lead("start").over(Window.partitionBy("strategy").orderBy("high")), F.col("end"))
     return spells.withColumn("gap", F.datediff(following, F.col("start"))).groupBy("strategy").agg(F.max("gap").cast("long").alias("longest"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.operators import documents, folds
-from lodestrand.plans import evaluation_queries, nav_queries
+from lodestrand.operators import documents
+from lodestrand.plans import evaluation_queries, nav_queries, portfolio_queries
 from lodestrand.plans.factors import sets
 from lodestrand.plans.layers import compute, to_sql
 from lodestrand.plans.oracles import operators
@@ -18,7 +18,7 @@ from lodestrand.sources.panel import BRAND_WEEK_SQL, brand_week, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries, each a function over DataFrames with SQL of its own.
-MODULES = (evaluation_queries, nav_queries)
+MODULES = (evaluation_queries, nav_queries, portfolio_queries)
 
 #: One formula for each panel operator.
 OPERATORS = {
@@ -103,7 +103,6 @@ def queries() -> dict[str, Query]:
     out |= {k: q.spark for k, q in QUERIES.items()}
     out["doc_normalize"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(documents.normalized(F.col("text")).cast("binary")).alias("text_md5"))
     out["doc_outline"] = lambda s, d: table(s, d, "documents").select("doc_id", F.size(documents.outline(F.col("text"))).alias("n_lines"))
-    out |= folds.queries()
     for module in MODULES:
         out |= {k: q.spark for k, q in module.QUERIES.items()}
     out["alpha84"] = alpha84
