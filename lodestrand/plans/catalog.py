@@ -7,18 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.operators import documents
-from lodestrand.plans import evaluation_queries, nav_queries, portfolio_queries
+from lodestrand.plans import evaluation_queries, nav_queries, portfolio_queries, warehouse_queries
 from lodestrand.plans.factors import sets
 from lodestrand.plans.layers import compute, to_sql
 from lodestrand.plans.oracles import operators
-from lodestrand.plans.sql_queries import QUERIES
-from lodestrand.sources.panel import BRAND_WEEK_SQL, brand_week, table
+from lodestrand.sources.panel import BRAND_WEEK_SQL, brand_week
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries, each a function over DataFrames with SQL of its own.
-MODULES = (evaluation_queries, nav_queries, portfolio_queries)
+MODULES = (evaluation_queries, nav_queries, portfolio_queries, warehouse_queries)
 
 #: One formula for each panel operator.
 OPERATORS = {
@@ -82,16 +80,19 @@ _BATCH = {**{f"gtja191_{k}": v for k, v in sets.gtja191().items()}, **{f"quant33
 
 
 def alpha84(spark: SparkSession, d: str) -> DataFrame:
-    """(date, code, digits, power): alpha84 = digits * 10 ** power, as its powers reach 1e291; both null where it is null, 0 where it is 0."""
+    """(date, code, digits, power): alpha84 = digits * 10 ** power, as its powers reach 1e291; both null where it is null, 0 where
+    it is 0. Beyond 1e300 and below 1e-300 doubles have no digits left, so those are null too."""
     x = compute(brand_week(spark, d), {"x": sets.factor_set("wq101")["alpha84"]})
+    x = x.withColumn("x", F.when((F.col("x") == 0) | F.abs("x").between(1e-300, 1e300), F.col("x")))
     power = F.floor(F.log10(F.nullif(F.abs("x"), F.lit(0.0))) + 1e-9)
-    return x.select("date", "code", F.when(F.col("x") == 0, 0.0).otherwise(F.round(F.try_divide(F.col("x"), F.pow(F.lit(10.0), power)), 5)).alias("digits"), F.when(F.col("x") == 0, 0).otherwise(power).cast("long").alias("power"))
+    return x.select("date", "code", F.when(F.col("x") == 0, 0.0).otherwise(F.round(F.try_divide(F.col("x"), F.pow(F.lit(10.0), power)), 5)).alias("digits"), F.when(F.col("x") == 0, 0).otherwise(power).cast("double").alias("power"))
 
 
 def _alpha84_sql() -> str:
     inner = to_sql(BRAND_WEEK_SQL, {"x": sets.factor_set("wq101")["alpha84"]}, None)
     power = "floor(log10(nullif(abs(x), 0)) + 1e-9)"
-    return f"SELECT date, code, CASE WHEN x = 0 THEN 0.0 ELSE round(x / pow(10.0, {power}), 5) END AS digits, CAST(CASE WHEN x = 0 THEN 0 ELSE {power} END AS BIGINT) AS power FROM ({inner}) q"
+    inner = f"SELECT date, code, CASE WHEN x = 0 OR abs(x) BETWEEN 1e-300 AND 1e300 THEN x END AS x FROM ({inner}) i"
+    return f"SELECT date, code, CASE WHEN x = 0 THEN 0.0 ELSE round(x / pow(10.0, {power}), 5) END AS digits, CAST(CASE WHEN x = 0 THEN 0 ELSE {power} END AS DOUBLE) AS power FROM ({inner}) q"
 
 
 def _formulas() -> dict[str, dict[str, str]]:
@@ -100,12 +101,9 @@ def _formulas() -> dict[str, dict[str, str]]:
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: _formula_query(f) for k, f in _formulas().items()}
-    out |= {k: q.spark for k, q in QUERIES.items()}
-    out["doc_normalize"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(documents.normalized(F.col("text")).cast("binary")).alias("text_md5"))
-    out["doc_outline"] = lambda s, d: table(s, d, "documents").select("doc_id", F.size(documents.outline(F.col("text"))).alias("n_lines"))
+    out["alpha84"] = alpha84
     for module in MODULES:
         out |= {k: q.spark for k, q in module.QUERIES.items()}
-    out["alpha84"] = alpha84
     return out
 
 
@@ -113,8 +111,6 @@ def oracle_sql() -> dict[str, str]:
     out = {k: to_sql(BRAND_WEEK_SQL, f) for k, f in _formulas().items()}
     out |= operators.sql()
     out["alpha84"] = _alpha84_sql()
-    out |= {k: q.sql() for k, q in QUERIES.items()}
-    out["doc_normalize"] = r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))) AS text_md5 FROM documents"
     for module in MODULES:
         for k, q in module.QUERIES.items():
             out.pop(k, None)

@@ -84,4 +84,4 @@ def query(select: str, *needs: str, **own: str) -> str:
     for name in needs:
         add(name)
     parts = [f"{name} AS ({CTES[name][1]})" for name in order] + [f"{name} AS ({text})" for name, text in own.items()]
-    return f"WITH {', '.join(parts)} {select}"
+    return f"WITH {', '.join(parts)} {select}" if parts else select

@@ -63,7 +63,18 @@ def brand_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(panel)
 
 
-#: The same panel in SQL, as a table expression named ``panel``.
+def supplier_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of suppliers by week: its codes grow with the tables, about as many as there are thousands of order lines over six."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    own = lines.withColumns({"px": F.try_divide("l_extendedprice", "l_quantity"), "place": F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")})
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    panel = own.groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("code")).agg(
+        F.min_by("px", "place").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "place").alias("close"), exact("l_quantity").alias("volume"), exact("l_extendedprice").alias("amount")
+    )
+    return classified(panel)
+
+
+#: The same panel of brands in SQL, as a table expression named ``panel``.
 BRAND_WEEK_SQL = """
   SELECT *, 'sector' || CAST(k % 3 AS VARCHAR) AS sector, 'industry' || CAST(k % 4 AS VARCHAR) AS industry, 'sub' || CAST(k % 5 AS VARCHAR) AS subindustry, close * (80e6 + 12e6 * (k % 10)) AS cap
   FROM (SELECT date, code, open, high, low, close, volume, amount, CAST(regexp_extract(code, '([0-9]+)', 1) AS INTEGER) AS k

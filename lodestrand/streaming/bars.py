@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def bars(events: DataFrame, width: str = "1 day", late: str = "1 hour", key: str = "event_type", time: str = "ts", value: str = "value") -> DataFrame:
-    """Open, high, low, close and count of each key and window; events later than ``late`` are left
-    out. Works on a batch as on a stream; of events at one time the order is open."""
+def bars(events: DataFrame, width: str = "1 day", late: str = "1 hour", key: str = "event_type", time: str = "ts", value: str = "value", order: str | None = None) -> DataFrame:
+    """Open, high, low, close and count of each key and window; a stream's events later than ``late`` are left
+    out. Works on a batch as on a stream. Open and close are the first and last event with a value by time, then by ``order``, then by value."""
+    place = F.when(F.col(value).isNotNull(), F.struct(time, *([order] if order else []), value))
     return (
         events.withColumn(time, F.col(time).cast("timestamp"))
         .withWatermark(time, late)
         .groupBy(F.window(time, width).alias("bar"), key)
-        .agg(F.min_by(value, time).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, time).alias("close"), F.count("*").alias("n"))
+        .agg(F.min_by(value, place).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, place).alias("close"), F.count("*").alias("n"))
         .select(key, F.col("bar.start").alias("bar"), "open", "high", "low", "close", "n")
     )
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lodestrand.operators import folds
+from lodestrand.operators import ledgers
 from lodestrand.plans.factors import sets
 from lodestrand.plans.layers import compute
 from lodestrand.sources.panel import check_columns, normalize
@@ -92,5 +92,5 @@ def test_normalize(spark):
 
 def test_position_ledger(spark):
     trades = spark.createDataFrame([(1, 7, dt.datetime(2024, 1, 1), 1, "BUY", 100.0, 10.0, 5.0), (1, 7, dt.datetime(2024, 1, 2), 2, "SELL", 40.0, 12.0, 5.0)], "account long, code long, time timestamp, seq long, side string, qty double, price double, fee double")
-    r = folds.position_ledger(trades).first()
+    r = ledgers.position_ledger(trades).first()
     assert r["quantity"] == 60 and abs(r["cost"] - 10.05) < 1e-9 and abs(r["realized"] - (40 * 1.95 - 5)) < 1e-9

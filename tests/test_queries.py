@@ -4,7 +4,7 @@ import pytest
 
 from lodestrand.plans import catalog
 
-SAMPLE = ["ic_summary", "quantile_returns", "basket_turnover", "truth_compare", "long_short_targets", "performance_window", "monthly_returns", "merge_unique", "publish_factor", "traffic_daily", "a_share_fee", "doc_normalize", "cs_rank", "ts_corr", "sma_gtja", "gtja191"]
+SAMPLE = ["ic_summary", "quantile_returns", "basket_turnover", "truth_compare", "validation_gates", "performance_window", "drawdown_events", "target_weights", "topk_backtest", "position_ledger", "publish_factor", "readiness_manifest", "traffic_daily", "doc_evaluation", "cs_rank", "sma_gtja", "gtja191", "alpha84"]
 
 
 def rows(df):
@@ -31,5 +31,5 @@ def test_names():
 
 
 def test_ledgers_run(spark, data):
-    for name in ("sleeve_ledger", "breakout_machine"):
+    for name in ("sleeve_ledger", "target_execution", "etf_rotation"):
         assert catalog.queries()[name](spark, data).count() > 0

@@ -4,16 +4,13 @@ import bisect
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestrand.operators import evaluation as ev
+from lodestrand.operators import warehouse as wh
+from lodestrand.operators.inference import two_sided_p
 from lodestrand.plans import catalog
-from lodestrand.plans.sql_queries import QUERIES
-
-
-def on_rows(spark, name, **tables):
-    """The query's own text over small tables."""
-    q = QUERIES[name]
-    assert set(tables) == set(q.inputs)
-    return spark.sql(q.text, **tables)
+from lodestrand.streaming import bars
 
 
 def both(spark, duck, data, name):
@@ -34,29 +31,22 @@ def test_asof_join_gives_every_order_its_latest_date(spark, duck, data):
 def test_asof_join_looks_back_any_time(spark):
     orders = spark.createDataFrame([(1, datetime(2020, 1, 1)), (2, datetime(2020, 1, 6, 23)), (3, datetime(2021, 6, 1)), (4, None)], "o_orderkey long, o_orderdate timestamp")
     panel = spark.createDataFrame([(date(2020, 1, 6),), (date(2020, 1, 6),), (date(2020, 1, 13),)], "date date")
-    got = {tuple(r) for r in on_rows(spark, "asof_join", o=orders, p=panel).collect()}
+    got = {(r["o_orderkey"], r["snap"]) for r in wh.as_of(orders, "o_orderdate", panel).collect()}
     assert got == {(1, None), (2, date(2020, 1, 6)), (3, date(2020, 1, 13)), (4, None)}
 
 
-def test_p_is_the_normal_tail(spark, duck):
-    from lodestrand.operators.inference import two_sided_p
-    from lodestrand.plans.frames import with_p
-
-    sql = with_p("SELECT CAST(k AS DOUBLE) / 8 AS t FROM (SELECT explode(sequence(-288, 288)) AS k) q")
-    for rows in (spark.sql(sql).select("t", "p").collect(), duck.sql(sql.replace("explode(sequence(-288, 288))", "unnest(range(-288, 289))")).select("t", "p").fetchall()):
-        assert len(rows) == 577
-        for t, p in rows:
-            assert p == pytest.approx(two_sided_p(t), rel=1e-10)
-    assert duck.sql(with_p("SELECT CAST(NULL AS DOUBLE) AS t")).select("p").fetchall() == [(1.0,)]
+def test_p_is_the_normal_tail(spark):
+    rows = spark.range(-288, 289).select((F.col("id") / 8).alias("t")).select("t", ev.two_sided(F.col("t")).alias("p")).collect()
+    assert len(rows) == 577
+    for t, p in rows:
+        assert p == pytest.approx(two_sided_p(t), rel=1e-10)
+    assert spark.range(1).select(ev.two_sided(F.lit(None).cast("double"))).first()[0] == 1.0
 
 
 def test_fdr_corrects_p_values_of_t(spark):
     ts = {"a": 4.0, "b": -2.5, "c": 1.0, "d": None, "e": 2.2}
-    from lodestrand.operators.inference import two_sided_p
-    from lodestrand.plans.frames import with_p
-
-    values = ", ".join(f"('{f}', CAST({'NULL' if t is None else t} AS DOUBLE))" for f, t in ts.items())
-    got = {r["factor"]: r for r in on_rows(spark, "fdr_bh", t=spark.sql(with_p(f"SELECT factor, t FROM (VALUES {values}) v(factor, t)"))).collect()}
+    tests = spark.createDataFrame(list(ts.items()), "factor string, t double").withColumn("p", ev.two_sided(F.col("t")))
+    got = {r["factor"]: r for r in ev.corrected(tests).collect()}
     p = {f: 1.0 if t is None else two_sided_p(t) for f, t in ts.items()}
     order = sorted(p.values())
     for f, own in p.items():
@@ -70,8 +60,6 @@ def test_fdr_corrects_p_values_of_t(spark):
 def test_p_values_on_the_tables(spark, duck, data, name):
     import numpy as np
 
-    from lodestrand.operators.inference import two_sided_p
-
     ic = duck.sql(catalog.oracle_sql()["ic_daily"]).df()
     ic = ic[ic.n >= 5].groupby("factor").ic
     p = (ic.mean() / (ic.std() / np.sqrt(ic.count()))).map(two_sided_p)
@@ -111,12 +99,10 @@ def test_decay_of_rank_ic_over_all_horizons(spark, duck, data, name, step):
             assert got[k] == pytest.approx(w, abs=2e-4), k
 
 
-def test_event_bars_keep_bars_with_ties(spark, duck):
+def test_event_bars_keep_bars_with_ties(spark):
     at = datetime(2024, 1, 1, 10)
     events = [(3, at, "a", 5.0), (1, at, "a", 7.0), (2, at.replace(hour=11), "a", 1.0), (5, at.replace(hour=11), "a", 9.0), (5, at.replace(hour=11), "a", 8.0), (9, at.replace(hour=12), "a", None), (4, at, "b", 2.0), (4, at, "b", 2.0)]
     df = spark.createDataFrame(events, "event_id long, ts timestamp, event_type string, value double")
     want = [("a", 6, 7.0, 9.0, 1.0, 9.0), ("b", 2, 2.0, 2.0, 2.0, 2.0)]
-    assert sorted(tuple(r) for r in on_rows(spark, "event_bars", e=df).drop("bar").collect()) == want
-    rows = ", ".join(f"({k}, TIMESTAMP '{ts}', '{t}', CAST({'NULL' if v is None else v} AS DOUBLE))" for k, ts, t, v in events)
-    sql = QUERIES["event_bars"].text.format(e=f"(SELECT * FROM (VALUES {rows}) v(event_id, ts, event_type, value))")
-    assert sorted((r[0], *r[2:]) for r in duck.sql(sql).fetchall()) == want
+    got = bars.bars(df, order="event_id").select("event_type", "n", "open", "high", "low", "close")
+    assert sorted(tuple(r) for r in got.collect()) == want
