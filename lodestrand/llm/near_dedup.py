@@ -33,7 +33,6 @@ class Params:
     pivots: int = 128  #: members of a cluster's largest component that the others are tried against first
     block: int = 200  #: sets that a task holds while others stream past
     stream: int = 1000  #: sets that stream past in one task
-    whole: int = 8  #: a cluster of more blocks than that is compared by its buckets, if that is cheaper
     salts: int = 32  #: parts into which a group is dealt when its sizes are joined
     seed: int = 7
 
@@ -220,30 +219,6 @@ def _apart(members: DataFrame, comps: DataFrame, p: Params) -> DataFrame:
     return now.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(p.salts)).cast("int")).join(sizes, ["group", "salt"]).drop("salt")
 
 
-def _rows(p: Params) -> Column:
-    """Sets that the exhaustive comparison of a group streams past its blocks."""
-    return F.ceil((F.col("all") - F.col("inside")) / p.block) * F.col("all")
-
-
-def _cheaper(now: DataFrame, loose: DataFrame, tables: DataFrame, comps: DataFrame, p: Params) -> DataFrame:
-    """``now`` with each loose cluster replaced by its buckets, where comparing in these streams fewer
-    sets; a cluster whose buckets hold nothing apart is done. Both ways meet every pair that shares a key and is
-    held apart, so no link is lost. Equal buckets count once."""
-    inside = loose.select(F.col("group").alias("cluster"), F.col("id").alias("rep"))
-    buckets = tables.join(inside, "rep").select(F.xxhash64(F.lit("bucket"), "key").alias("group"), F.col("rep").alias("id"), "cluster")
-    own = _apart(buckets.select("group", "id"), comps, p)
-    # a bucket lies within one cluster, so any member tells it
-    alike = own.join(inside.withColumnRenamed("rep", "id"), "id").groupBy("group").agg(
-        F.min("cluster").alias("cluster"), F.first("all").alias("all"), F.first("inside").alias("inside"), F.min("id").alias("low"), F.max("id").alias("high"),
-        F.sum(F.xxhash64("id", F.lit(5)) % 1_000_003).alias("mark"), F.sum(F.xxhash64("id", F.lit(6)) % 1_000_033).alias("other"),
-    )
-    once = alike.groupBy("cluster", "all", "low", "high", "mark", "other").agg(F.min("group").alias("group"), F.first("inside").alias("inside"))
-    whole = loose.select(F.col("group").alias("cluster"), _rows(p).alias("whole")).distinct()
-    better = whole.join(once.groupBy("cluster").agg(F.sum(_rows(p)).alias("rows")), "cluster", "left").filter("coalesce(rows, 0) < whole").select("cluster")
-    chosen = once.join(better, "cluster", "left_semi").select("group")
-    return now.join(better.withColumnRenamed("cluster", "group"), "group", "left_anti").unionByName(own.join(chosen, "group", "left_semi"))
-
-
 def _blocks(now: DataFrame, sets: DataFrame, last: bool, p: Params) -> DataFrame:
     """The rows that :func:`_block_links` reads, dealt and sorted. First some pivots of each group's largest component
     are held and all others stream past; at last all outside that component are held and the whole group streams past."""
@@ -273,7 +248,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     against the other centres, so a document makes one row whatever the size of its group. Buckets that
     share members form clusters, and what a cluster then still holds apart is compared exactly: members
     outside its largest component first with some pivots of that component, then those still apart with all
-    members, or, if a loose cluster has smaller buckets, with all members of their buckets. Such comparisons hold a block of sets in a task
+    members. Such comparisons hold a block of sets in a task
     while a bounded number of others stream past; they make rows for links only, not for pairs.
 
     Null or empty texts, and texts without words, have an empty set: n_shingles 0, linked with
@@ -313,7 +288,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     links, links_at = materialize(confirm(star), "links")
     comps, comps_at = connected_components(links)
     clusters, clusters_at = connected_components(star)
-    release(spark, links_at, star_at)
+    release(spark, links_at, star_at, tables_at)
     members = clusters.select(F.xxhash64(F.lit("cluster"), "comp").alias("group"), "id")
 
     for last in (False, True):
@@ -321,12 +296,6 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
         if not now.limit(1).count():
             release(spark, now_at)
             break
-        if last:
-            loose = now.filter(F.col("all") - F.col("inside") > p.whole * p.block)
-            if loose.limit(1).count():
-                now, was = _cheaper(now, loose, tables, comps, p), now_at
-                now, now_at = materialize(now, "apart")
-                release(spark, was)
         more, more_at = materialize(map_batches(_blocks(now, sets, last, p), _block_links(p.percent), f"u {kind}, v {kind}"), "links")
         if more.limit(1).count():
             # links between components join their labels
@@ -339,7 +308,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
             comps_at = new_at
         release(spark, now_at, more_at)
 
-    release(spark, clusters_at, tables_at, sets_at)
+    release(spark, clusters_at, sets_at)
     of_class = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
     out = sig.select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

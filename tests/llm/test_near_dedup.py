@@ -82,10 +82,10 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
 
 
 @pytest.mark.parametrize("words", [2, 5])
-def test_loose_clusters_by_their_buckets(spark, words):
+def test_clusters_in_small_blocks(spark, words):
     rows = texts(words + 20)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
-    tight = nd.Params(words=words, pivots=1, block=2, stream=3, whole=0, salts=2)
+    tight = nd.Params(words=words, pivots=1, block=2, stream=3, salts=2)
     assert {r[0]: r[2] for r in nd.near_duplicates(docs, tight).collect()} == brute(rows, words)
 
 
@@ -95,5 +95,5 @@ def test_chains_of_texts_that_do_not_link(spark):
     rows = [(i, " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(40)])) for i in range(90)]
     rows += [(100 + i, rows[i][1] + " end") for i in range(0, 90, 9)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
-    got = nd.near_duplicates(docs, nd.Params(words=2, pivots=4, block=5, stream=20, whole=1)).collect()
+    got = nd.near_duplicates(docs, nd.Params(words=2, pivots=4, block=5, stream=20)).collect()
     assert {r[0]: r[2] for r in got} == brute(rows, 2)
